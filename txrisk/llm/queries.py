@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import exact_dedup, mixing, quality_rules, simhash
 from .common import documents
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -14,13 +15,25 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", "n_failed_lines", "kept_chars", "kept"]
+    return quality_rules.judge(documents(spark, sf_dir).select("doc_id", "text")).select(columns)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    budget = F.floor(F.sum("tokens") * 4 / 5)
+    return mixing.mix(documents(spark, sf_dir), mixing.default_domain(), mixing.default_weights(), budget, max_epochs=2, seed=7).drop("__row")
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op7_simhash": op7_simhash,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES = {
@@ -28,4 +41,6 @@ ORACLES = {
         WITH t AS (SELECT doc_id, {_LOWER} AS x FROM documents),
         g AS (SELECT doc_id, x, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size FROM t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256 FROM g""",
+    "op5_quality_rules": quality_rules.oracle_sql(),
+    "op10_mixing": mixing.oracle_sql(max_epochs=2, seed=7),
 }

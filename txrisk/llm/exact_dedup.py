@@ -124,7 +124,7 @@ def _mismatches(keyed: DataFrame, members: DataFrame, per_salt: int) -> DataFram
     A row is known by its doc_id and the hash of its unchanged text; repeated rows have one entry on the members' side."""
     salts = F.ceil(F.col("group_size") / per_salt).cast("int")
     group = ["fp", "n_bytes", "split"]
-    who = members.groupBy(*group, F.col("doc_id").alias("d"), F.col("raw").alias("r")).agg(F.max(F.col("uid") == F.col("top.uid")).alias("lead"), F.max(salts).alias("salts"))
+    who = members.repartition("doc_id", "raw").groupBy(*group, F.col("doc_id").alias("d"), F.col("raw").alias("r")).agg(F.max(F.col("uid") == F.col("top.uid")).alias("lead"), F.max(salts).alias("salts"))
     who = who.withColumn("salts", F.when(F.col("lead"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("d", "r"), F.col("salts")).cast("int"))))
     texts = keyed.join(who.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("raw") == F.col("r")))
     blocks = texts.withColumn("block", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n_bytes") - 1) / BLOCK)).cast("int"))))

@@ -21,8 +21,9 @@ MENU = r"(?i)^[\x20\x09-\x0D]*(home|menu|search|log ?in|log ?out|sign ?in|sign ?
 BOILERPLATE = r"(?i)all rights reserved|copyright|©|licensed under|released under the|cookie|privacy policy|terms of (use|service)|javascript|subscribe|newsletter|lorem ipsum|powered by|click here|unsubscribe"
 SHORT = 300
 #: Limits: a line fails with over 1 symbol for 5 word characters, over 1 shout for 4 words, over 1 divider for 5 words; a line of
-#: fewer words than ``MENU_WORDS`` that closes no sentence is a menu entry. A text keeps its place with half of its word characters.
-SYMBOL_SHARE, SHOUT_SHARE, DIVIDER_SHARE, MENU_WORDS, MIN_LEFT = 5, 4, 5, 4, 0.5
+#: fewer words than ``MENU_WORDS`` that closes no sentence is a menu entry; one of 8 to 60 words fails if no more than half of them
+#: differ (longer lines of prose repeat their common words). A text keeps its place with half of its word characters.
+SYMBOL_SHARE, SHOUT_SHARE, DIVIDER_SHARE, MENU_WORDS, STUTTER, MIN_LEFT = 5, 4, 5, 4, (8, 60), 0.5
 
 
 def count_matches(text: Column, pattern: str) -> Column:
@@ -34,8 +35,9 @@ def line_fails(line: Column) -> Column:
     squeezed = F.regexp_replace(line, BLANK, " ")
     def judged(x: Column) -> Column:
         n_words = F.size(F.split(x, " "))
+        stutter = n_words.between(*STUTTER) & (F.size(F.array_distinct(F.split(x, " "))) * 2 <= n_words)
         chars = F.length(x) - n_words + 1
-        punctuation = (count_matches(line, SYMBOL) * SYMBOL_SHARE > chars) | (count_matches(line, SHOUT) * SHOUT_SHARE > n_words)
+        punctuation = (count_matches(line, SYMBOL) * SYMBOL_SHARE > chars) | (count_matches(line, SHOUT) * SHOUT_SHARE > n_words) | stutter
         navigation = (count_matches(line, DIVIDER) * DIVIDER_SHARE > n_words) | ((n_words < MENU_WORDS) & ~line.rlike(CLOSED)) | ((F.length(x) <= SHORT) & line.rlike(MENU))
         return (x != "") & (punctuation | navigation | ((F.length(x) <= SHORT) & line.rlike(BOILERPLATE)))
 
@@ -118,6 +120,7 @@ def oracle_sql(min_left: float = MIN_LEFT) -> str:
     j AS (SELECT rid, line, x, len(string_split(x, ' ')) AS n, length(x) AS len FROM l WHERE x <> ''),
     f AS (SELECT rid, line, x, n, (
             {many('line', SYMBOL)} * {SYMBOL_SHARE} > len - n + 1 OR {many('line', SHOUT)} * {SHOUT_SHARE} > n
+            OR (n BETWEEN {STUTTER[0]} AND {STUTTER[1]} AND len(list_distinct(string_split(x, ' '))) * 2 <= n)
             OR {many('line', DIVIDER)} * {DIVIDER_SHARE} > n OR (n < {MENU_WORDS} AND NOT regexp_matches(line, '{quote(CLOSED)}'))
             OR (len <= {SHORT} AND (regexp_matches(line, '{quote(MENU)}') OR regexp_matches(line, '{quote(BOILERPLATE)}')))) AS bad FROM j),
     a AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (bad) AS n_failed_lines,

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality_rules, simhash
-from .common import documents
+from . import exact_dedup, fixity, language_id, mixing, pieces, quality_model, quality_rules, simhash, url_filter
+from .common import documents, tables
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -15,15 +15,60 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def may_learn(doc_id, parts: int, held: int):
+    """Whether a document is outside the held-out part: crc32 of its doc_id as text, modulo ``parts``."""
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)) != held
+
+
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, learn = documents(spark, sf_dir), may_learn(F.col("doc_id"), 5, 0)
+    weights = quality_model.train(docs, spark.read.parquet(tables(sf_dir, "labels")), learn)
+    scored = quality_model.score(docs, weights)
+    return scored.select("doc_id", F.coalesce(~learn, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op4_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.drill(spark.read.parquet(tables(sf_dir, "pages")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", "n_failed_lines", "kept_chars", "kept"]
     return quality_rules.judge(documents(spark, sf_dir).select("doc_id", "text")).select(columns)
 
 
+# The rules of the query.
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's labelled table is small: a bounded sample of the urls that a rule decides, labelled by it."""
+    pages = spark.read.parquet(tables(sf_dir, "pages")).select("page_id", "url")
+    parts = pages.select(url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"))
+    rule = url_filter.rule_of(F.col("host"), F.col("path"), RULES)
+    labelled = parts.withColumn("allowed", rule.isin([r for told, r in RULES if told == "allow"]))
+    return url_filter.judge(pages, RULES, url_filter.train(labelled)).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, learn = documents(spark, sf_dir), may_learn(F.col("doc_id"), 3, 1)
+    found = language_id.predict(docs, language_id.train(docs, learn))
+    return found.select("doc_id", F.coalesce(~learn, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(documents(spark, sf_dir), model_path(), dropout=0.1, seed=7, variants=4)
+
+
+def model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     budget = F.floor(F.sum("tokens") * 4 / 5)
     return mixing.mix(documents(spark, sf_dir), mixing.default_domain(), mixing.default_weights(), budget, max_epochs=2, seed=7).drop("__row")
@@ -31,8 +76,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality_model": op3_quality_model,
+    "op4_merkle_audit": op4_merkle_audit,
     "op5_quality_rules": op5_quality_rules,
+    "op6_url_filter": op6_url_filter,
     "op7_simhash": op7_simhash,
+    "op8_language_id": op8_language_id,
+    "op9_pieces": op9_pieces,
     "op10_mixing": op10_mixing,
 }
 
@@ -41,6 +91,7 @@ ORACLES = {
         WITH t AS (SELECT doc_id, {_LOWER} AS x FROM documents),
         g AS (SELECT doc_id, x, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size FROM t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256 FROM g""",
+    "op4_merkle_audit": fixity.drill_sql(),
     "op5_quality_rules": quality_rules.oracle_sql(),
     "op10_mixing": mixing.oracle_sql(max_epochs=2, seed=7),
 }

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fixity, language_id, mixing, pieces, quality_model, quality_rules, simhash, url_filter
+from . import exact_dedup, fixity, language_id, line_dedup, mixing, pieces, quality_model, quality_rules, simhash, url_filter
 from .common import documents, tables
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return line_dedup.near_lines(docs.withColumn("uid", F.monotonically_increasing_id())).select("doc_id", "line_no", "keep_doc_id", "keep_line_no", "kept")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -75,6 +80,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_quality_model": op3_quality_model,
     "op4_merkle_audit": op4_merkle_audit,

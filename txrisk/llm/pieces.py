@@ -71,6 +71,12 @@ class Model:
         at = np.fromiter(taken.keys(), dtype=np.int64)
         k = np.fromiter(taken.values(), dtype=np.int64)
         self.slot_key[at], self.slot_rank[at], self.slot_id[at] = keys[k], ranks[k], ids[k]
+        # a code point's symbol; a SPACE of the text itself is a stranger, so that decoding gives it back
+        self.symbol_of_point = np.full(0x110000, self.stranger, dtype=np.int32)
+        for c, i in self.symbols.items():
+            if len(c) == 1:
+                self.symbol_of_point[ord(c)] = i
+        self.symbol_of_point[ord(" ")], self.symbol_of_point[ord(SPACE)] = self.symbols.get(SPACE, self.stranger), self.stranger
         # decoding: a piece's bytes, spaces restored
         self.bytes = [p.replace(SPACE, " ").encode() for p in self.pieces]
         for b, i in enumerate(self.byte_ids):
@@ -101,9 +107,8 @@ class Model:
         return found, ids
 
     def symbols_of(self, chunk: str) -> list[int]:
-        """One symbol a character. A space is SPACE; a SPACE of the text itself is a stranger, so that decoding gives it back."""
-        get, stranger = self.symbols.get, self.stranger
-        return [get(SPACE) if c == " " else stranger if c == SPACE else get(c, stranger) for c in chunk]
+        """One symbol a character."""
+        return [int(self.symbol_of_point[ord(c)]) for c in chunk]
 
     def finish(self, chunk: str, symbols: list[tuple[int, int]]) -> bytes:
         """The ids, two bytes each, of (symbol, length) in order; what isn't in the vocabulary goes as bytes."""
@@ -193,47 +198,65 @@ def by_agenda(m: Model, chunk: str, key: int, limit: int) -> bytes:
 
 
 def in_step(m: Model, chunks: list[str], keys: list[int], limit: int) -> list[bytes]:
-    """Many short chunks at once: each round makes the best merge left of each chunk, until none has any."""
+    """Many short chunks at once: of each, the best merge left is made, until none has any. Chunks of one length are the rows of a
+    table; its columns are the characters, each naming the next and the one before that still begin a symbol."""
     import numpy as np
 
-    sym_lists = [m.symbols_of(c) for c in chunks]
-    lengths = np.array([len(s) for s in sym_lists])
-    sym = np.array([x for s in sym_lists for x in s], dtype=np.int64)
-    owner = np.repeat(np.arange(len(chunks)), lengths)
-    start = np.arange(len(sym)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    end = start + 1
-    key = np.array(keys, dtype=np.uint64)
     done: list = [None] * len(chunks)
-    n_all = len(sym)
-    while len(sym):
-        paired = owner[1:] == owner[:-1]
-        rank, made = m.look_up(sym[:-1], sym[1:])
-        rank[~paired] = 1 << 30
-        if limit and (live := np.flatnonzero(rank < 1 << 30)).size:
-            rank[live[dropped(key[owner[live]], start[live], start[live + 1], end[live + 1], np.uint64(limit))]] = 1 << 30
-        # of each chunk the least (rank, place)
-        order = rank * (1 << 21) + start[:-1] if len(sym) > 1 else np.zeros(0, dtype=np.int64)
-        heads = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-        best = np.minimum.reduceat(np.append(order, np.iinfo(np.int64).max), heads)
-        going = best < (1 << 30) * (1 << 21)
-        where = heads[going]
-        offset = best[going] & ((1 << 21) - 1)
-        # the place among the symbols left that starts at this offset
-        at = np.searchsorted(owner * (1 << 21) + start, owner[where] * (1 << 21) + offset)
-        sym[at], end[at] = made[at], end[at + 1]
-        keep = np.ones(len(sym), dtype=bool)
-        keep[at + 1] = False
-        ended = heads[~going]
-        if len(ended):
-            bounds = np.append(heads, len(sym))
-            lens = end - start
-            for k in np.flatnonzero(~going).tolist():
-                a, b = int(bounds[k]), int(bounds[k + 1])
-                who = int(owner[a])
-                done[who] = m.finish(chunks[who], list(zip(sym[a:b].tolist(), lens[a:b].tolist())))
-            keep &= np.repeat(going, np.diff(bounds))
-        sym, start, end, owner = sym[keep], start[keep], end[keep], owner[keep]
-    assert n_all or not chunks
+    sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+    key = np.array(keys, dtype=np.uint64)
+    for length in np.unique(sizes).tolist():
+        who = np.flatnonzero(sizes == length)
+        points = np.frombuffer("".join([chunks[i] for i in who]).encode("utf-32-le"), dtype="<u4").reshape(-1, length)
+        sym = m.symbol_of_point[points]
+        n, none = len(who), np.int32(1 << 30)
+        after = np.broadcast_to(np.arange(1, length + 2), (n, length + 1)).copy()  # of the place past the end: itself
+        after[:, length - 1 :] = length
+        before = np.broadcast_to(np.arange(-1, length), (n, length + 1)).copy()
+        rank = np.full((n, length), none, dtype=np.int32)
+        made = np.zeros((n, length), dtype=np.int32)
+
+        def offer(rows, at):
+            """Rank anew the pairs that begin at these places."""
+            second = after[rows, at]  # noqa: B023
+            inside = second < length  # noqa: B023
+            r, i = m.look_up(sym[rows, at].astype(np.int64), sym[rows, np.minimum(second, length - 1)].astype(np.int64))  # noqa: B023
+            r[~inside] = none  # noqa: B023
+            if limit and (live := np.flatnonzero(r < none)).size:  # noqa: B023
+                end = after[rows[live], second[live]]  # noqa: B023
+                r[live[dropped(key[who[rows[live]]], at[live], second[live], end, np.uint64(limit))]] = none  # noqa: B023
+            rank[rows, at], made[rows, at] = r, i  # noqa: B023
+
+        if length > 1:
+            rows, at = np.divmod(np.arange(n * (length - 1)), length - 1)
+            offer(rows, at)
+        going = np.arange(n)
+        while length > 1 and len(going):
+            best = rank[going].argmin(axis=1)  # the leftmost of the least
+            has = rank[going, best] < none
+            going, at = going[has], best[has]
+            if not len(going):
+                break
+            second = after[going, at]
+            third = after[going, second]
+            sym[going, at] = made[going, at]
+            after[going, at], before[going, third] = third, at
+            sym[going, second], rank[going, second] = -1, none
+            first = before[going, at]
+            back = first >= 0
+            offer(np.concatenate((going, going[back])), np.concatenate((at, first[back])))
+        alive = sym >= 0
+        strange = (sym >= m.n).any(axis=1)
+        ends = (np.cumsum(alive.sum(axis=1)) * 2).tolist()
+        flat = sym[alive].astype("<u2").tobytes()
+        start = 0
+        for i, end, odd in zip(who.tolist(), ends, strange.tolist()):
+            done[i] = flat[start:end]
+            start = end
+            if odd:
+                row = int(np.searchsorted(who, i))
+                places = np.flatnonzero(alive[row])
+                done[i] = m.finish(chunks[i], list(zip(sym[row, places].tolist(), np.diff(np.append(places, length)).tolist())))
     return done
 
 
@@ -256,8 +279,8 @@ class Encoder:
             self.known = [{} for _ in range(self.variants)]
         variants = [self.variant(x) for x in names]
         cut = [CHUNK.findall(" " + t) if t else [] for t in texts]
-        new = {(v, c) for v, chunks in zip(variants, cut) for c in set(chunks) - self.known[v].keys()}
-        short = [x for x in sorted(new) if len(x[1]) <= IN_STEP]
+        new = {(v, c) for v, chunks in zip(variants, cut) for known in (self.known[v],) for c in chunks if c not in known}
+        short = [x for x in new if len(x[1]) <= IN_STEP]
         for at in range(0, len(short), 1 << 15):
             part = short[at : at + (1 << 15)]
             keys = [chunk_key(c, v, self.seed) for v, c in part]

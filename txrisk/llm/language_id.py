@@ -39,7 +39,8 @@ def fit(x, y, n_classes: int, seed: int = 0, epochs: int = 150, rate: float = 0.
     code = codewords(n_classes, seed=seed)
     target = code[y]
     weight = (len(y) / n_classes / np.bincount(y, minlength=n_classes).clip(1))[y][:, None] / len(y)  # languages count alike
-    w, b = np.zeros((x.shape[1], code.shape[1])), np.zeros(code.shape[1])
+    w, b = np.zeros((x.shape[1], code.shape[1]), dtype=np.float32), np.zeros(code.shape[1], dtype=np.float32)
+    weight = weight.astype(np.float32)
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
     for t in range(1, epochs + 1):
         g = -target * weight / (1 + np.exp(np.clip(target * (x @ w + b), -30, 30)))
@@ -64,9 +65,9 @@ def decode(margins, code):
     return best, top[:, -1], top[:, -1] - second < 0.2
 
 
-def train(docs: DataFrame, may_learn: Column, sample: int = 1500, seed: int = 0):
-    """A model from at most ``sample`` texts of each language: (languages, code, weights, intercepts), or None if there is none to learn
-    from. Only rows of ``docs`` where ``may_learn`` (over doc_id) holds, with a text and a language, are looked at; the sample is the
+def train(docs: DataFrame, may_learn: Column, sample: int = 3000, seed: int = 0):
+    """A model from at most ``sample`` texts, as many of each language: (languages, code, weights, intercepts), or None if there is none to
+    learn from. Only rows of ``docs`` where ``may_learn`` (over doc_id) holds, with a text and a language, are looked at; the sample is the
     first of each language by a hash of doc_id. Languages are values of ``lang``, at most 200 of them, the commonest first."""
     import numpy as np
 
@@ -74,6 +75,7 @@ def train(docs: DataFrame, may_learn: Column, sample: int = 1500, seed: int = 0)
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()
     if not counts:
         return None
+    sample = max(10, sample // len(counts))
     # of each language about ``sample`` rows by a threshold on the hash, then exactly so many of these
     spread = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000))
     limits = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1_000_000, int(1_200_000 * sample / r["count"]) + 1)))])
@@ -90,7 +92,7 @@ def train(docs: DataFrame, may_learn: Column, sample: int = 1500, seed: int = 0)
 
     found = near.select("lang", F.xxhash64("doc_id", F.lit(seed)).alias("order"), "text").mapInArrow(run, "lang string, order long, x array<float>")
     rows = found.toPandas().sort_values(["lang", "order"], kind="stable").groupby("lang").head(sample)
-    x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, WIDTH)
+    x = np.array(rows["x"].tolist(), dtype=np.float32).reshape(-1, WIDTH)
     y = np.searchsorted(languages, rows["lang"].to_numpy().astype(str)) if len(rows) else np.zeros(0, dtype=int)
     return (languages, *fit(x, y, len(languages), seed)) if len(rows) else None
 

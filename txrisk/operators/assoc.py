@@ -17,13 +17,7 @@ from .ecdf import value_ecdf
 
 def _p(function, *args: Column) -> Column:
     """A tail probability for each of a few result rows; null where an argument is."""
-    import pandas as pd
-
-    @F.pandas_udf("double")
-    def run(frame: pd.DataFrame) -> pd.Series:
-        return pd.Series([None if any(x is None or x != x for x in r) else function(*r) for r in frame.itertuples(index=False)], dtype="float64")
-
-    return run(F.struct(*[a.cast("double").alias(f"a{i}") for i, a in enumerate(args)]))
+    return F.udf(lambda *x: None if any(v is None or v != v for v in x) else float(function(*x)), "double")(*[a.cast("double") for a in args])
 
 
 def continuous_statistics(ecdf: DataFrame) -> DataFrame:
@@ -257,7 +251,10 @@ def logit_comparison(df: DataFrame, cols: list[str], target: str, without: tuple
         condition = float(np.sqrt(np.linalg.cond(r)))
         data = VectorAssembler(inputCols=use, outputCol="x").transform(rows)
         fit = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="x", labelCol=target, maxIter=50, tol=1e-10).fit(data)
-        errors = fit.summary.coefficientStandardErrors
-        out += [(name, c, float(b), float(e), condition) for c, b, e in zip([*use, "const"], [*fit.coefficients, fit.intercept], errors)]
+        try:
+            errors = [float(e) for e in fit.summary.coefficientStandardErrors]
+        except Exception:  # collinear columns: the fit has coefficients but no errors
+            errors = [None] * (len(use) + 1)
+        out += [(name, c, float(b), e, condition) for c, b, e in zip([*use, "const"], [*fit.coefficients, fit.intercept], errors)]
     rows.unpersist()
     return df.sparkSession.createDataFrame(out, T.StructType([T.StructField("model", T.StringType()), T.StructField("term", T.StringType()), *[T.StructField(n, T.DoubleType()) for n in ("coef", "se", "condition")]]))

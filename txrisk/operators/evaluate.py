@@ -123,7 +123,7 @@ def evaluate_models(scores: DataFrame, target: str, score: str, amount: str | No
 def calibration_gain(evaluated: DataFrame) -> DataFrame:
     """What the best threshold gains over the fixed one, and in percent of its size."""
     gain = F.col("j_best") - F.col("j_fixed")
-    return evaluated.withColumn("gain", F.round(gain, 2)).withColumn("gain_pct", F.round(F.try_divide(gain, F.abs("j_fixed")) * 100, 2))
+    return evaluated.withColumn("gain", F.round(gain, 4)).withColumn("gain_pct", F.round(F.try_divide(gain, F.abs("j_fixed")) * 100, 4))
 
 
 def profit_decomposition(df: DataFrame, target: str, predicted: str, amount: str, margin: float = 0.25, loss: float = 1.0) -> DataFrame:

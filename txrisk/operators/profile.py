@@ -104,7 +104,7 @@ def economic_impact(df: DataFrame, time: str, target: str, amount: str, margin:
     side = lambda v, n: F.coalesce(F.sum(F.when(F.col(target) == v, F.col(amount))), F.lit(0.0)).alias(n)
     out = day.rollup("day").agg(side(0, "amount_neg"), side(1, "amount_pos"), F.grouping("day").alias("is_total"))
     gain, lost = margin * F.col("amount_neg"), loss * F.col("amount_pos")
-    return out.select(F.when(F.col("is_total") == 1, "TOTAL").otherwise(F.col("day")).alias("period"), F.round("amount_neg", 2).alias("amount_neg"), F.round("amount_pos", 2).alias("amount_pos"), F.round(gain, 2).alias("gain"), F.round(lost, 2).alias("loss"), F.round(gain - lost, 2).alias("net"))
+    return out.select(F.when(F.col("is_total") == 1, "TOTAL").otherwise(F.col("day")).alias("period"), F.round("amount_neg", 2).alias("amount_neg"), F.round("amount_pos", 2).alias("amount_pos"), F.round(gain, 4).alias("gain"), F.round(lost, 4).alias("loss"), F.round(gain - lost, 4).alias("net"))
 
 
 def _ranked(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -45,7 +45,7 @@ for _f, _n in (("D", "daily"), ("W", "weekly"), ("M", "monthly")):
     add(f"a4_target_{_n}", lambda s, d, f=_f: P.target_by_period(tx(s, d), "fecha", "fraude", f), tx_sql(f"SELECT {_PERIOD[_f]} AS period, count(fraude) AS n_total, sum(fraude)::BIGINT AS n_pos, (count(fraude) - sum(fraude))::BIGINT AS n_neg, round(sum(fraude) / count(fraude), 4) AS rate FROM tx GROUP BY 1"))
 _SIDES = "coalesce(sum(monto) FILTER (fraude = 0), 0) AS a0, coalesce(sum(monto) FILTER (fraude = 1), 0) AS a1"
 add("a5_daily_amount", lambda s, d: P.daily_amount(tx(s, d), "fecha", "fraude", "monto"), tx_sql(f"SELECT period, round(a0, 2) AS amount_neg, round(a1, 2) AS amount_pos, round(a0 + a1, 2) AS amount_total, round(a1 / (a0 + a1), 4) AS pct_pos FROM (SELECT {_PERIOD['D']} AS period, {_SIDES} FROM tx GROUP BY 1)"))
-IMPACT_SQL = tx_sql(f"SELECT period, round(a0, 2) AS amount_neg, round(a1, 2) AS amount_pos, round(0.25 * a0, 2) AS gain, round(a1, 2) AS loss, round(0.25 * a0 - a1, 2) AS net FROM (SELECT CASE WHEN grouping(day) = 1 THEN 'TOTAL' ELSE day END AS period, {_SIDES} FROM (SELECT *, {_PERIOD['D']} AS day FROM tx) GROUP BY ROLLUP (day))")
+IMPACT_SQL = tx_sql(f"SELECT period, round(a0, 2) AS amount_neg, round(a1, 2) AS amount_pos, round(0.25 * a0, 4) AS gain, round(a1, 4) AS loss, round(0.25 * a0 - a1, 4) AS net FROM (SELECT CASE WHEN grouping(day) = 1 THEN 'TOTAL' ELSE day END AS period, {_SIDES} FROM (SELECT *, {_PERIOD['D']} AS day FROM tx) GROUP BY ROLLUP (day))")
 add("a6_economic_impact", lambda s, d: P.economic_impact(tx(s, d), "fecha", "fraude", "monto"), IMPACT_SQL)
 _COUNTS = "c AS (" + union(f"SELECT '{c}' AS column_name, coalesce({c}::VARCHAR, '(nulo)') AS value, count(*) AS n FROM tx GROUP BY 2" for c in CAT) + ")"
 _RANKED = "r AS (SELECT *, sum(pct) OVER (PARTITION BY column_name ORDER BY pos) AS cum FROM (SELECT *, round(n / (SELECT count(*) FROM tx), 4) AS pct, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS pos FROM c))"

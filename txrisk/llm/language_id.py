@@ -86,13 +86,12 @@ def train(docs: DataFrame, may_learn: Column, sample: int = 3000, seed: int = 0)
         import pyarrow as pa
 
         for batch in batches:
-            values = np.concatenate([np.zeros(0, np.float32), *[text_features(t.as_py()) for t in batch.column("text")]])
-            column = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, WIDTH, dtype=np.int32)), pa.array(values))
+            column = pa.array([text_features(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("order"), column], ["lang", "order", "x"])
 
-    found = near.select("lang", F.xxhash64("doc_id", F.lit(seed)).alias("order"), "text").mapInArrow(run, "lang string, order long, x array<float>")
+    found = near.select("lang", F.xxhash64("doc_id", F.lit(seed)).alias("order"), "text").mapInArrow(run, "lang string, order long, x binary")
     rows = found.toPandas().sort_values(["lang", "order"], kind="stable").groupby("lang").head(sample)
-    x = np.array(rows["x"].tolist(), dtype=np.float32).reshape(-1, WIDTH)
+    x = np.frombuffer(b"".join(rows["x"]), dtype=np.float32).reshape(-1, WIDTH)
     y = np.searchsorted(languages, rows["lang"].to_numpy().astype(str)) if len(rows) else np.zeros(0, dtype=int)
     return (languages, *fit(x, y, len(languages), seed)) if len(rows) else None
 

@@ -10,15 +10,13 @@ from .features import SHAPE, shape_features
 
 def _featured(rows: DataFrame, extra: str) -> DataFrame:
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            values = np.concatenate([np.zeros(0, np.float32), *[shape_features(t.as_py()) for t in batch.column("text")]])
-            column = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, SHAPE, dtype=np.int32)), pa.array(values))
+            column = pa.array([shape_features(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("kind"), column], ["kind", "x"])
 
-    return rows.select(extra, "text").mapInArrow(run, f"{extra} int, x array<float>")
+    return rows.select(extra, "text").mapInArrow(run, f"{extra} int, x binary")
 
 
 def fit_nnpu(positive, unlabelled, prior: float, epochs: int = 60, rate: float = 0.02, decay: float = 1e-4, seed: int = 0):
@@ -83,7 +81,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = 8
     chosen = good.union(web)  # at most twice ``sample`` ids
     rows = _featured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), "kind").toPandas()
     kinds = rows["kind"].to_numpy()
-    x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, SHAPE)
+    x = np.frombuffer(b"".join(rows["x"]), dtype=np.float32).reshape(-1, SHAPE).astype(np.float64)
     order = np.lexsort(x.T[::-1])  # the order in which rows arrive must not matter
     x, kinds = x[order], kinds[order]
     positive, unlabelled = x[kinds == 1], x[kinds == 0]

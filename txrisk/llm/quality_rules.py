@@ -99,7 +99,8 @@ def judge(docs: DataFrame, min_left: float = MIN_LEFT) -> DataFrame:
 
 def clean(docs: DataFrame, min_left: float = MIN_LEFT) -> DataFrame:
     """The documents that pass, with their failed lines removed and n_chars, where there is one, counted anew."""
-    out = judge(docs, min_left).where("kept").withColumn("text", F.col("clean_text"))
+    judged = judge(docs.select(F.struct("*").alias("__doc"), "text"), min_left).where("kept")
+    out = judged.select("__doc.*", F.col("clean_text").alias("__text")).withColumn("text", F.col("__text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

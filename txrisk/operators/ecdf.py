@@ -29,6 +29,19 @@ def running_sums(counts: DataFrame, sums: list[str], group: list[str], by: str,
     return out.withColumns({f"cum_{s}": F.col(f"cum_{s}") + F.col(f"__off_{s}") for s in sums}).drop("__slice", *[f"__off_{s}" for s in sums])
 
 
+def quantile_table(values: DataFrame, group: list[str], value: str, at: list[float], slices: int = 64) -> DataFrame:
+    """(group columns, q): an array of the exact quantiles ``at``, with linear interpolation, of ``value`` in each group. It is read from the
+    table of value counts and its running sums, so no task holds a group's distinct values, as an aggregate of quantiles would."""
+    counts = values.groupBy(*group, value).agg(F.count("*").alias("n"))
+    total = counts.groupBy(*group).agg(F.sum("n").alias("__total"))
+    rows = running_sums(counts, ["n"], group, value, slices).join(total, group)
+    place = [(F.col("__total") - 1) * F.lit(float(q)) for q in at]
+    pick = lambda p: F.max(F.when((F.col("cum_n") - F.col("n") <= p) & (p < F.col("cum_n")), F.col(value)))
+    out = rows.groupBy(*group).agg(F.max("__total").alias("__total"), *[pick(f(p)).alias(f"__{k}{i}") for i, p in enumerate(place) for k, f in (("lo", F.floor), ("hi", F.ceil))])
+    between = [F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (p - F.floor(p)) for i, p in enumerate(place)]
+    return out.select(*group, F.array(*between).alias("q"))
+
+
 def value_ecdf(df: DataFrame, cols: list[str], target: str, slices: int = 64) -> DataFrame:
     """(feature, value, n0, n1, cum_n0, cum_n1) over the rows whose target is 0 or 1."""
     rows = long_values(df, cols, {"y": F.col(target)}).where("y IN (0, 1)")

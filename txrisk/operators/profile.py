@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from ..functions.labels import OUTLIERS, SKEW, VIF, label
 from ..sources.tables import MISSING, NULL_LABEL, OTHER
+from .ecdf import quantile_table
+from .fitted import quantiles
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -131,15 +133,13 @@ def concentration_summary(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def numeric_distribution(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Moments, quartiles, bias-corrected skewness and values beyond 1.5 interquartile ranges: one pass for the statistics, one for the counts.
-    Columns are given by the caller; a column of nulls has nulls."""
+    """Moments, quartiles, bias-corrected skewness and values beyond 1.5 interquartile ranges: quartiles of all columns from one table of value
+    counts, then one aggregate for the rest. Columns are given by the caller; a column of nulls has nulls."""
     x = lambda c: F.col(c).cast("double")
-    first = df.agg(*[e.alias(f"{k}_{c}") for c in cols for k, e in (("n", F.count(c)), ("mean", F.avg(x(c))), ("q", F.percentile(x(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))), ("std", F.stddev_samp(x(c))), ("min", F.min(x(c))), ("max", F.max(x(c))), ("g", F.skewness(x(c))))])
-    low = lambda c: F.col(f"q_{c}")[0] - 1.5 * (F.col(f"q_{c}")[2] - F.col(f"q_{c}")[0])
-    high = lambda c: F.col(f"q_{c}")[2] + 1.5 * (F.col(f"q_{c}")[2] - F.col(f"q_{c}")[0])
-    bounds = first.select(*[e.alias(f"{k}_{c}") for c in cols for k, e in (("low", low(c)), ("high", high(c)))])
-    outside = df.crossJoin(F.broadcast(bounds)).agg(*[F.count_if((x(c) < F.col(f"low_{c}")) | (x(c) > F.col(f"high_{c}"))).alias(f"out_{c}") for c in cols])
-    rows = _long(first.crossJoin(F.broadcast(outside)), [{"column_name": F.lit(c), "n": F.col(f"n_{c}"), "mean": F.col(f"mean_{c}"), "median": F.col(f"q_{c}")[1], "std": F.col(f"std_{c}"), "min": F.col(f"min_{c}"), "max": F.col(f"max_{c}"), "g": F.col(f"g_{c}"), "n_outliers": F.col(f"out_{c}")} for c in cols])
+    quarters = {c: q or [None] * 3 for c, q in quantiles(df, cols, [0.25, 0.5, 0.75]).items()}
+    ends = {c: (q[0] - 1.5 * (q[2] - q[0]), q[2] + 1.5 * (q[2] - q[0])) if q[0] is not None else (0.0, 0.0) for c, q in quarters.items()}
+    first = df.agg(*[e.alias(f"{k}_{c}") for c in cols for k, e in (("n", F.count(c)), ("mean", F.avg(x(c))), ("out", F.count_if((x(c) < ends[c][0]) | (x(c) > ends[c][1]))), ("std", F.stddev_samp(x(c))), ("min", F.min(x(c))), ("max", F.max(x(c))), ("g", F.skewness(x(c))))])
+    rows = _long(first, [{"column_name": F.lit(c), "n": F.col(f"n_{c}"), "mean": F.col(f"mean_{c}"), "median": F.lit(quarters[c][1]).cast("double"), "std": F.col(f"std_{c}"), "min": F.col(f"min_{c}"), "max": F.col(f"max_{c}"), "g": F.col(f"g_{c}"), "n_outliers": F.col(f"out_{c}")} for c in cols])
     n = F.col("n").cast("double")
     rows = rows.withColumn("skew", F.when(n > 2, F.nanvl(F.col("g"), F.lit(None)) * F.sqrt(n * (n - 1)) / (n - 2))).withColumn("pct_outliers", F.round(F.coalesce(F.try_divide("n_outliers", "n"), F.lit(0.0)), 4))
     return rows.select("column_name", *[F.round(c, 4).alias(c) for c in ("mean", "median", "std", "min", "max", "skew")], label(F.abs("skew"), SKEW, closed=True).alias("skew_label"), "n_outliers", "pct_outliers", label(F.col("pct_outliers"), OUTLIERS, closed=True).alias("outlier_label"))
@@ -239,7 +239,7 @@ def histogram_by_group(df: DataFrame, cols: list[str], group: str, bins: int = 4
 def box_stats_by_group(df: DataFrame, cols: list[str], group: str) -> DataFrame:
     """Quartiles and whiskers: the last values within 1.5 interquartile ranges of the box."""
     long = df.select(F.col(group).alias("grp"), F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("p")).select("grp", "p.*").where("v IS NOT NULL AND grp IS NOT NULL")
-    q = long.groupBy("column_name", "grp").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantile_table(long, ["column_name", "grp"], "v", [0.25, 0.5, 0.75])
     q = q.select("column_name", "grp", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     near = long.join(F.broadcast(q), ["column_name", "grp"]).where("v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1)")  # columns x groups rows
     ends = near.groupBy("column_name", "grp").agg(F.min("v").alias("low"), F.max("v").alias("high"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def release(*written: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read again."""
+    for df in written:
+        if path := getattr(df, "_scratch_path", None):
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def with_row_id(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``name``: an id of each row that is the same whenever the table is read. Rows of files are known by their file
+    and their place in it; any other table is written once with numbers."""
+    try:
+        place = F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
+        return docs.select("*", place.alias(name))
+    except AnalysisException:  # not a file scan
+        return materialize(docs.withColumn(name, F.monotonically_increasing_id().cast("string")), "numbered")
 
 
 def let(value: Column, body) -> Column:

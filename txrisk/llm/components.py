@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -30,12 +30,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not live.isEmpty():
         both = live.select("src", "dst").union(live.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         hooks = both.groupBy(F.col("src").alias("node")).agg(F.min(rank(F.col("dst"))).alias("least"))
+        before = [live, labels]
         hooks = materialize(hooks.select("node", F.least(rank(F.col("node")), F.col("least"))["id"].alias("parent")), "cc-hooks")
         if labels is None:
-            labels = hooks.select("node", F.col("parent").alias("component"))
+            labels = materialize(hooks.select("node", F.col("parent").alias("component")), "cc-labels")
         else:
             moved = hooks.select(F.col("node").alias("component"), "parent")
             labels = materialize(labels.join(moved, "component", "left").select("node", F.coalesce("parent", "component").alias("component")), "cc-labels")
         ends = live.join(hooks.select(F.col("node").alias("src"), F.col("parent").alias("a")), "src").join(hooks.select(F.col("node").alias("dst"), F.col("parent").alias("b")), "dst")
         live = materialize(tidy(ends.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "cc-edges")
+        release(*before, hooks)
     return labels if labels is not None else live.select(F.col("src").alias("node"), F.col("dst").alias("component"))

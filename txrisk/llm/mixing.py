@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, words_of
+from .common import materialize, with_row_id, words_of
 
 LEAF = ["domain", "lang", "source"]
 #: Coarse steps of an epoch's order: a leaf's documents fall into 2^BUCKET_BITS buckets of their 60-bit order key.
@@ -103,7 +103,7 @@ def default_weights() -> dict[str, Column]:
 
 def mix_documents(docs: DataFrame, max_epochs: int = 2, seed: int = 0) -> DataFrame:
     """The documents of the default mix, with all their columns; a document chosen in two epochs comes twice."""
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-docs")
+    numbered = with_row_id(docs, "__row")
     chosen = mix(numbered, default_domain(), default_weights(), F.sum("tokens"), max_epochs, seed)
     return numbered.join(chosen.select("__row"), "__row").select(*docs.columns)
 

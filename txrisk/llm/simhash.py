@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, materialize
+from .common import WORD_BYTES, materialize, release, with_row_id
 from .components import connected_components
 
 #: A fingerprint is a ring of four segments of 16 bits, the first at the high end. With at most 3 differing bits on the ring some
@@ -48,16 +48,18 @@ def _fingerprint_batches(shingle: int, seed: int):
 
         for batch in batches:
             fps = [f - (1 << 64) if (f := fingerprint_of(t.as_py(), shingle, seed)) >> 63 else f for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            rest = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in rest], pa.array(fps, pa.int64())], [*rest, "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the signed value of the 64 bits. Texts are lower-cased in A-Z; shingles of ``shingle`` words joined by one
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, row_id: str | None = None) -> DataFrame:
+    """(doc_id, fp), and a text column ``row_id`` if one is named: fp is the signed value of the 64 bits. Texts are lower-cased in A-Z; shingles of ``shingle`` words joined by one
     space, repeats included, are hashed by XXH64; a bit is 1 if it is set in over half of them. Fewer words than that: the whole
     sequence is the one shingle; no word or null: 0."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprint_batches(shingle, seed), "doc_id long, fp long")
+    more = [row_id] if row_id else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, "text").mapInArrow(_fingerprint_batches(shingle, seed), ", ".join(["doc_id long", *[f"{c} string" for c in more], "fp long"]))
 
 
 def _segment(i: int):
@@ -165,6 +167,18 @@ def near_links(fps: DataFrame, wide: int = WIDE) -> DataFrame:
     return linked(keyed.join(hot, ["start", "key"], "left_anti")).union(linked(deep))
 
 
+def classes(rows: DataFrame, first, wide: int = WIDE) -> DataFrame:
+    """(fp, first) for each fingerprint of ``rows``, where ``first`` is this minimum over all rows of the fingerprint's class."""
+    firsts = materialize(rows.groupBy("fp").agg(first.alias("first")), "simhash-fps")
+    links = materialize(near_links(firsts.select("fp"), wide), "simhash-links")
+    found = connected_components(links)
+    named = firsts.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = named.groupBy("component").agg(F.min("first").alias("least"))
+    out = materialize(named.join(least, "component").select("fp", F.col("least").alias("first")), "simhash-classes")
+    release(firsts, links, found)
+    return out
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, wide: int = WIDE) -> DataFrame:
     """Classes of documents whose SimHash fingerprints are linked by chains of steps of at most 3 bits.
 
@@ -174,20 +188,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, wide: int
 
     Copies collapse into one fingerprint by a map-side combine before anything is compared."""
     rows = materialize(fingerprints(docs, shingle, seed), "simhash-rows")
-    firsts = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-fps")
-    links = materialize(near_links(firsts.select("fp"), wide), "simhash-links")
-    classes = connected_components(links).withColumnRenamed("node", "fp")
-    named = firsts.join(classes, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_fp = materialize(named.join(least, "component").select("fp", "component_id"), "simhash-classes")
+    of_fp = classes(rows, F.min("doc_id"), wide).withColumnRenamed("first", "component_id")
     return rows.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each class: the first by doc_id, and of rows that repeat it one. All columns stay."""
-    uid = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-docs")
-    found = near_duplicates(uid.select(F.col("__row").alias("doc_id"), "text"), **options)
-    lead = found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__class"))
-    ids = uid.select("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row").alias("__order"))
-    first = ids.join(lead, "__row").groupBy("__class").agg(F.min("__order").alias("__order")).select(F.col("__order.__row").alias("__row"))
-    return uid.join(first, "__row", "left_semi").drop("__row")
+def keep_one(docs: DataFrame, shingle: int = 3, seed: int = 42, wide: int = WIDE) -> DataFrame:
+    """``docs`` with one row of each class: the first by doc_id, null last, and of rows that repeat it one. All columns stay."""
+    known = with_row_id(docs, "__row")
+    rows = materialize(fingerprints(known, shingle, seed, "__row"), "simhash-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    first = classes(rows, F.min(order), wide).select(F.col("first.__row").alias("__row")).distinct()
+    return known.join(first, "__row", "left_semi").drop("__row")

@@ -190,3 +190,27 @@ def test_line_dedup_rewrites_texts(spark):
     out = {r["doc_id"]: r["text"] for r in line_dedup.dedup(df).collect()}
     assert out == {1: f"common\n  {base}!  ", 2: "own words here\n", 3: None, 4: "", 6: "短い行です短い行です"}
     assert line_dedup.dedup(df.limit(0)).count() == 0
+
+
+def test_row_ids(spark, small, tmp_path):
+    """Rows of files have the same id at each read; rows of other tables get one too."""
+    import os
+
+    from txrisk.llm.common import materialize, release, with_row_id
+
+    path = f"{small}/documents.parquet"
+    read = lambda: {r["row"]: r["doc_id"] for r in with_row_id(spark.read.parquet(path), "row").select("row", "doc_id").collect()}
+    assert read() == read() and len(read()) == spark.read.parquet(path).count()
+    made = with_row_id(spark.range(100).selectExpr("id AS doc_id", "'x' AS text"), "row")
+    assert made.select("row").distinct().count() == 100
+    written = materialize(spark.range(5), "gone")
+    folder = written._scratch_path.removeprefix("file:")
+    assert os.path.isdir(folder)
+    release(written, written, spark.range(1))
+    assert not os.path.exists(folder)
+
+
+def test_line_places_agree_with_kept_rows(spark):
+    """Rows that repeat, doc_id and all, keep a line once between them."""
+    df = spark.createDataFrame([(7, "one line of some words that repeats"), (7, "one line of some words that repeats")], "doc_id long, text string")
+    assert line_dedup.dedup(df).count() == 1

@@ -214,3 +214,32 @@ def test_line_places_agree_with_kept_rows(spark):
     """Rows that repeat, doc_id and all, keep a line once between them."""
     df = spark.createDataFrame([(7, "one line of some words that repeats"), (7, "one line of some words that repeats")], "doc_id long, text string")
     assert line_dedup.dedup(df).count() == 1
+
+
+def shares_a_bucket(spark, pairs):
+    """For each pair of lines, whether they are compared."""
+    lines = sorted({x for p in pairs for x in p})
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").withColumn("uid", F.col("doc_id"))
+    kept = {r["doc_id"]: r["component"] for r in line_dedup.near_lines(docs).collect()}
+    at = {x: i for i, x in enumerate(lines)}
+    return [kept[at[a]] == kept[at[b]] for a, b in pairs]
+
+
+def test_short_lines_by_number_of_words(spark):
+    """Near copies of lines of each length, with a character changed or added, against their similarity."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 8)))
+    by_words = defaultdict(list)
+    for n in range(2, 10):
+        while len(by_words[n]) < 40:
+            a = " ".join(word() for _ in range(n))
+            at = rng.randrange(len(a))
+            b = rng.choice([a + ".", a[:-1] + "9", a[:at] + "9" + a[at:]])
+            if jaccard(a, b) >= line_dedup.SIMILARITY:
+                by_words[n].append((a, b))
+    fixed = [("read this page", "read this page."), ("page number 1234", "page number 1235"), ("pneumonoultramicroscopicsilicovolcanoconiosis", "pneumonoultramicroscopicsilicovolcanoconiosi"), ("ภาษาไทยไม่มีช่องว่างระหว่างคำ", "ภาษาไทยไม่มีช่องว่างระหว่างคำๆ")]
+    found = shares_a_bucket(spark, fixed + [p for n in by_words for p in by_words[n]])
+    assert all(found[: len(fixed)])
+    for i, n in enumerate(by_words):
+        part = found[len(fixed) + 40 * i : len(fixed) + 40 * (i + 1)]
+        assert sum(part) >= 39, (n, sum(part))

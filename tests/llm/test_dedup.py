@@ -243,3 +243,11 @@ def test_short_lines_by_number_of_words(spark):
     for i, n in enumerate(by_words):
         part = found[len(fixed) + 40 * i : len(fixed) + 40 * (i + 1)]
         assert sum(part) >= 39, (n, sum(part))
+
+
+def test_pairs_with_hardly_equal_signatures_are_verified(spark):
+    """Two lines that share one bucket only are a pair; with too different numbers of shingles they are none."""
+    bins = line_dedup.BINS
+    rows = [(i, n, *[m if j < 2 else i * 100 + j for j in range(bins)]) for i, n, m in [(1, 80, 7), (2, 100, 7), (3, 100, 8), (4, 79, 8)]]
+    signed = spark.createDataFrame(rows, ", ".join(["id long", "n int", *[f"m{j} long" for j in range(bins)]]))
+    assert [(r["a"], r["b"]) for r in line_dedup.candidates(signed).collect()] == [(1, 2)]

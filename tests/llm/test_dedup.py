@@ -250,4 +250,39 @@ def test_pairs_with_hardly_equal_signatures_are_verified(spark):
     bins = line_dedup.BINS
     rows = [(i, n, *[m if j < 2 else i * 100 + j for j in range(bins)]) for i, n, m in [(1, 80, 7), (2, 100, 7), (3, 100, 8), (4, 79, 8)]]
     signed = spark.createDataFrame(rows, ", ".join(["id long", "n int", *[f"m{j} long" for j in range(bins)]]))
-    assert [(r["a"], r["b"]) for r in line_dedup.candidates(signed).collect()] == [(1, 2)]
+    assert [(r["a"], r["b"]) for r in line_dedup.candidates(signed)[0].collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("n, many", [(150, line_dedup.MANY), (1500, line_dedup.MANY), (150, 20)])
+def test_lines_of_one_template(spark, monkeypatch, n, many):
+    """Pairs of near copies among lines that share a long passage, at two sizes; also with every shingle counted as hot."""
+    monkeypatch.setattr(line_dedup, "MANY", many)
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 7)))
+    passage = " ".join(word() for _ in range(12))
+    pairs = []
+    while len(pairs) < n:
+        a = passage + " " + " ".join(word() for _ in range(3))
+        at = len(passage) + rng.randint(2, 12)
+        b = a[:at] + "9" + a[at + 1 :]
+        if jaccard(a, b) >= line_dedup.SIMILARITY:
+            pairs.append((a, b))
+    assert all(shares_a_bucket(spark, pairs))
+
+
+def test_crowded_lines_against_all_pairs(spark, monkeypatch):
+    """Lines of a passage with own parts of all lengths, with every bucket counted as crowded and every shingle as hot or none."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 5)))
+    passage, own = [word() for _ in range(16)], [word() for _ in range(12)]
+    lines = sorted({" ".join(passage[rng.randint(0, 4) :] + [rng.choice(own) for _ in range(rng.randint(0, 5))]) for _ in range(260)})
+    sets = brute_components(lines, lambda a, b: jaccard(a, b) >= line_dedup.SIMILARITY)
+    want = len({sets.find(v) for v in lines})
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").withColumn("uid", F.col("doc_id"))
+    for few, many in ((1, 10**9), (1, 1)):
+        monkeypatch.setattr(line_dedup, "FEW", few)
+        monkeypatch.setattr(line_dedup, "MANY", many)
+        got = defaultdict(set)
+        for r in line_dedup.near_lines(docs).collect():
+            got[r["component"]].add(lines[r["doc_id"]])
+        assert len(got) == want and all(len({sets.find(v) for v in g}) == 1 for g in got.values())

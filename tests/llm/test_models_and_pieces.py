@@ -52,6 +52,36 @@ def test_seeds_vary_and_repeat(path):
     assert enc(1, "a") == enc(1, "a") and len({enc(s, "a") for s in range(10)}) > 5 and len({enc(1, n) for n in range(10)}) > 5
 
 
+def test_occurrences_and_documents_vary(path):
+    """A word that comes often has many segmentations, also within one document; each is what its merges give one by one."""
+    m, word = pieces.model(path), "international"
+    enc = pieces.Encoder(path, 0.3, 1)
+    texts = [" ".join([word] * 200)] * 6
+    blobs = enc.encode(texts, list(range(6)))
+    assert len(set(blobs)) == 6 and blobs == pieces.Encoder(path, 0.3, 1).encode(texts, list(range(6)))
+    assert [enc.encode([t], [i])[0] for i, t in enumerate(texts)] == blobs
+    one, forms, at = ids_of(blobs[0]), set(), []
+    for i in one:
+        if m.pieces[i].startswith("▁") and at:
+            forms.add(tuple(at))
+            at = []
+        at.append(i)
+    assert len(forms) > 10
+    import numpy as np
+
+    keys = pieces._mix(np.uint64(enc.key(0)) + pieces._mix(np.arange(200, dtype=np.uint64)))
+    assert blobs[0] == b"".join(pieces.by_agenda(m, " " + word, int(k), enc.limit) for k in keys)
+
+
+def test_copies_of_a_document_vary(spark, path):
+    text = "the quick brown fox jumps over the lazy dog and runs away into the forest " * 5
+    df = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (None, None)], "doc_id long, text string")
+    out = pieces.encode_copies(df, path)
+    assert out.columns == ["doc_id", "ids"]
+    assert len({str(r["ids"]) for r in out.collect()}) == 5
+    assert sorted(map(str, pieces.decode(out, path).collect())) == sorted(map(str, df.collect()))
+
+
 def test_pieces_as_tables(spark, path):
     rows = [(i, t, "old") for i, t in enumerate(TEXTS)] + [(99, None, "old"), (None, "null id", "old"), (1, "a", "old")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")

@@ -6,7 +6,7 @@ import hashlib
 import heapq
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPACE = "▁"
@@ -14,7 +14,7 @@ SPACE = "▁"
 CHUNK = re.compile(" *[^ ]+| +")
 #: Chunks of up to so many symbols are merged in step with others; longer ones by an agenda of their own.
 IN_STEP = 48
-#: Chunks remembered by a task: beyond it the memory is emptied. It bounds a worker's memory and changes no result.
+#: Chunks whose undropped form is remembered by a task: beyond it the memory is emptied. It bounds a worker's memory and changes no result.
 MEMORY = 1_000_000
 NORMAL, UNKNOWN, CONTROL, BYTE = range(4)
 
@@ -143,6 +143,7 @@ def _mix(x):
 
 
 def chunk_key(chunk: str, variant: int, seed: int) -> int:
+    """A key of a name, a number and the seed."""
     import xxhash
 
     return xxhash.xxh64_intdigest(chunk.encode(), (seed * 1_000_003 + variant) & (2**64 - 1))
@@ -153,8 +154,7 @@ def dropped(key, start, middle, end, limit):
     ``limit``. It depends on nothing else, so every way to work through the candidates skips the same ones."""
     import numpy as np
 
-    place = (start.astype(np.uint64) << np.uint64(42)) | (middle.astype(np.uint64) << np.uint64(21)) | end.astype(np.uint64)
-    return _mix(key ^ _mix(place + np.uint64(0x9E3779B97F4A7C15))) < limit
+    return _mix(key ^ hashed_bounds(start, middle, end)) < np.uint64(limit)
 
 
 def _dropped_one(key: int, start: int, middle: int, end: int, limit: int) -> bool:
@@ -197,9 +197,18 @@ def by_agenda(m: Model, chunk: str, key: int, limit: int) -> bytes:
     return m.finish(chunk, [(sym[i], size[i]) for i in range(n) if size[i]])
 
 
-def in_step(m: Model, chunks: list[str], keys: list[int], limit: int) -> list[bytes]:
+def hashed_bounds(start, middle, end):
+    """A hash of the bounds of candidate merges."""
+    import numpy as np
+
+    place = (start.astype(np.uint64) << np.uint64(42)) | (middle.astype(np.uint64) << np.uint64(21)) | end.astype(np.uint64)
+    return _mix(place + np.uint64(0x9E3779B97F4A7C15))
+
+
+def in_step(m: Model, chunks: list[str], keys, limit: int, made_of: list | None = None) -> list[bytes]:
     """Many short chunks at once: of each, the best merge left is made, until none has any. Chunks of one length are the rows of a
-    table; its columns are the characters, each naming the next and the one before that still begin a symbol."""
+    table; its columns are the characters, each naming the next and the one before that still begin a symbol. ``made_of`` collects
+    (chunk numbers, bound hashes) of the merges made."""
     import numpy as np
 
     done: list = [None] * len(chunks)
@@ -239,6 +248,8 @@ def in_step(m: Model, chunks: list[str], keys: list[int], limit: int) -> list[by
                 break
             second = after[going, at]
             third = after[going, second]
+            if made_of is not None:
+                made_of.append((who[going], hashed_bounds(at, second, third)))
             sym[going, at] = made[going, at]
             after[going, at], before[going, third] = third, at
             sym[going, second], rank[going, second] = -1, none
@@ -261,35 +272,81 @@ def in_step(m: Model, chunks: list[str], keys: list[int], limit: int) -> list[by
 
 
 class Encoder:
-    """Encodes texts of one task; equal chunks of one variant are merged once while they are remembered."""
+    """Encodes texts of one task. Of each chunk the form without dropped merges is remembered, with its merges; a chunk's occurrence
+    in which none of these is dropped has this form, any other is merged anew."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int):
-        self.m, self.seed, self.variants = model(path), seed, max(1, variants)
+    def __init__(self, path: str, dropout: float, seed: int, variants: int | None = None):
+        self.m, self.seed, self.variants = model(path), seed, variants
         self.limit = min(2**64 - 1, int(dropout * 2**64))
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.forget()
+
+    def forget(self):
+        import numpy as np
+
+        self.known: dict[str, int] = {}
+        self.plain: list[bytes] = []
+        self.start, self.merges = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint64)
 
-    def variant(self, name) -> int:
+    def key(self, name) -> int:
+        """A document's key; with ``variants``, one of so many."""
         import xxhash
 
-        return xxhash.xxh64_intdigest(str(name), self.seed & (2**64 - 1)) % self.variants if self.limit else 0
+        if self.variants:
+            return chunk_key("", xxhash.xxh64_intdigest(str(name), self.seed & (2**64 - 1)) % self.variants, self.seed)
+        return chunk_key(str(name), 0, self.seed)
+
+    def learn(self, chunks: list[str]):
+        """Remember the undropped forms of new short chunks, and the merges that make them."""
+        import numpy as np
+
+        starts, merges = [self.start], [self.merges]
+        for at in range(0, len(chunks), 1 << 15):
+            part, made_of = chunks[at : at + (1 << 15)], []
+            self.known.update(zip(part, range(len(self.plain), len(self.plain) + len(part))))
+            self.plain += in_step(self.m, part, [0] * len(part), 0, made_of)
+            who = np.concatenate([np.zeros(0, dtype=np.int64), *[w for w, _ in made_of]])
+            what = np.concatenate([np.zeros(0, dtype=np.uint64), *[x for _, x in made_of]])
+            merges.append(what[np.argsort(who, kind="stable")])
+            starts.append(starts[-1][-1] + np.cumsum(np.bincount(who, minlength=len(part))))
+        self.start, self.merges = np.concatenate(starts), np.concatenate(merges)
+
+    def any_dropped(self, which, keys):
+        """Whether a merge of the remembered chunk is dropped in this occurrence of it."""
+        import numpy as np
+
+        first, n = self.start[which], self.start[which + 1] - self.start[which]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)
+        hit = _mix(np.repeat(keys, n) ^ self.merges[at]) < np.uint64(self.limit)
+        upto = np.concatenate(([0], np.cumsum(hit)))
+        return upto[ends] > upto[ends - n]
 
     def encode(self, texts: list[str], names: list) -> list[bytes]:
-        """The ids of each text, two bytes each. ``names`` choose the variants."""
-        if sum(map(len, self.known)) > MEMORY:
-            self.known = [{} for _ in range(self.variants)]
-        variants = [self.variant(x) for x in names]
+        """The ids of each text, two bytes each. A merge is dropped by the document's name, the number of the chunk in its text, and the bounds."""
+        import numpy as np
+
+        if len(self.known) > MEMORY:
+            self.forget()
         cut = [CHUNK.findall(" " + t) if t else [] for t in texts]
-        new = {(v, c) for v, chunks in zip(variants, cut) for known in (self.known[v],) for c in chunks if c not in known}
-        short = [x for x in new if len(x[1]) <= IN_STEP]
-        for at in range(0, len(short), 1 << 15):
-            part = short[at : at + (1 << 15)]
-            keys = [chunk_key(c, v, self.seed) for v, c in part]
-            for (v, c), ids in zip(part, in_step(self.m, [c for _, c in part], keys, self.limit)):
-                self.known[v][c] = ids
-        for v, c in new:
-            if len(c) > IN_STEP:
-                self.known[v][c] = by_agenda(self.m, c, chunk_key(c, v, self.seed), self.limit)
-        return [b"".join(map(self.known[v].__getitem__, chunks)) for v, chunks in zip(variants, cut)]
+        flat = [c for chunks in cut for c in chunks]
+        self.learn([c for c in set(flat) if c not in self.known and len(c) <= IN_STEP])
+        which = np.fromiter((self.known.get(c, -1) for c in flat), dtype=np.int64, count=len(flat))
+        sizes = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+        ends = np.cumsum(sizes)
+        place = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
+        keys = _mix(np.repeat(np.array([self.key(x) for x in names], dtype=np.uint64), sizes) + _mix(place.astype(np.uint64)))
+        plain = self.plain
+        out = [plain[k] if k >= 0 else b"" for k in which.tolist()]
+        for i in np.flatnonzero(which < 0).tolist():
+            out[i] = by_agenda(self.m, flat[i], int(keys[i]), self.limit)
+        if self.limit:
+            short = np.flatnonzero(which >= 0)
+            again = short[self.any_dropped(which[short], keys[short])]
+            for at in range(0, len(again), 1 << 15):
+                part = again[at : at + (1 << 15)]
+                for i, ids in zip(part.tolist(), in_step(self.m, [flat[i] for i in part.tolist()], keys[part], self.limit)):
+                    out[i] = ids
+        return [b"".join(out[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist())]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -300,7 +357,7 @@ def decode_ids(m: Model, ids) -> str:
     return b"".join(map(m.bytes.__getitem__, ids)).decode()[1:]
 
 
-def _encode_batches(path: str, dropout: float, seed: int, variants: int, what: str):
+def _encode_batches(path: str, dropout: float, seed: int, variants: int | None, what: str):
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -335,13 +392,13 @@ def _prepared(docs: DataFrame, name: Column) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "text", name.cast("string").alias("name"))
 
 
-def encode(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 4, name: Column | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, variants: int | None = None, name: Column | None = None) -> DataFrame:
     """``docs`` without its text and with ``ids`` (array<int>) in its place.
 
     A text is cut before each run of spaces; characters of a chunk are merged best piece first, leftmost first among equals, as the
-    model's own encoder does, except that a candidate merge is skipped for good if its hash, keyed by the seed, the variant, the chunk and the
-    candidate's bounds, is under ``dropout``. What is left over goes as pieces or as bytes, so any text decodes to itself. A
-    document takes one of ``variants`` segmentations by the hash of ``name`` (its doc_id); dropout 0 gives the model's own. A null
+    model's own encoder does, except that a candidate merge is skipped for good if its hash, keyed by the seed, the document's ``name`` (its doc_id), the
+    chunk's number in the text and the candidate's bounds, is under ``dropout``. What is left over goes as pieces or as bytes, so any text decodes
+    to itself. With ``variants``, names count only as one of so many; dropout 0 gives the model's own. A null
     text has null ids, an empty one none. A column called ids is replaced. The result depends on no other row, batch or task."""
     docs = docs.drop("ids")
     kind = docs.drop("text").schema
@@ -349,6 +406,15 @@ def encode(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, vari
     return out.select("row.*", "ids")
 
 
+def encode_copies(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0) -> DataFrame:
+    """``encode`` of a table in which a document may come several times, once for each epoch it is drawn in: its copies are numbered, and each
+    has a segmentation of its own. Which of equal rows has which number is open and changes no result."""
+    copy = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*[c for c in docs.columns if c != "text"])))
+    numbered = docs.withColumn("__copy", copy)
+    name = F.concat_ws(":", F.col("doc_id").cast("string"), F.when(F.col("__copy") > 1, F.col("__copy")).cast("string"))
+    return encode(numbered, path, dropout, seed, name=name).drop("__copy")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with ``text`` in place of ``ids``; null ids give a null text."""
     encoded = encoded.drop("text")
@@ -366,7 +432,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select(row, "ids").mapInArrow(run, f"row {kind.simpleString()}, text string").select("row.*", "text")
 
 
-def digest(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 4) -> DataFrame:
+def digest(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, variants: int | None = None) -> DataFrame:
     """For each document: doc_id, n_pieces, ids_sha256 (of its ids as two-byte little-endian values) and lossless (they decode to its
     text); nulls for a null text. The ids are those of ``encode``; they are decoded and compared where they are made."""
     only = docs.select("doc_id", "text")

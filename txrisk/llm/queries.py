@@ -65,7 +65,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digest(documents(spark, sf_dir), model_path(), dropout=0.1, seed=7, variants=4)
+    return pieces.digest(documents(spark, sf_dir), model_path(), dropout=0.1, seed=7)
 
 
 def model_path() -> str:

@@ -245,12 +245,46 @@ def test_short_lines_by_number_of_words(spark):
         assert sum(part) >= 39, (n, sum(part))
 
 
-def test_pairs_with_hardly_equal_signatures_are_verified(spark):
-    """Two lines that share one bucket only are a pair; with too different numbers of shingles they are none."""
-    bins = line_dedup.BINS
-    rows = [(i, n, *[m if j < 2 else i * 100 + j for j in range(bins)]) for i, n, m in [(1, 80, 7), (2, 100, 7), (3, 100, 8), (4, 79, 8)]]
-    signed = spark.createDataFrame(rows, ", ".join(["id long", "n int", *[f"m{j} long" for j in range(bins)]]))
-    assert [(r["a"], r["b"]) for r in line_dedup.candidates(signed)[0].collect()] == [(1, 2)]
+def test_candidates_share_a_band_and_half_of_the_bins(spark):
+    """One equal band is enough as long as at most DIFFER bins differ."""
+    bins, rows = line_dedup.BINS, []
+    for i, same in [(1, bins), (2, bins - line_dedup.DIFFER), (3, bins - line_dedup.DIFFER - 1)]:
+        rows.append((i, i, i, 1, False, *[15 * 100 * j + j % 15 if j < same else 15 * (100 * j + i) + (j + i) % 15 for j in range(bins)]))
+    signed = spark.createDataFrame(rows, ", ".join(["id long", "h1 long", "h2 long", "n_lines long", "thin boolean", *[f"m{j} int" for j in range(bins)]]))
+    pairs, crowd = line_dedup.candidates(signed)
+    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(1, 2)] and crowd.count() == 0
+
+
+def edited(rng, line, letters):
+    at = rng.randrange(len(line))
+    return rng.choice([line[:at] + rng.choice(letters) + line[at:], line[:at] + line[at + 1 :], line[:at] + rng.choice(letters) + line[at + 1 :]])
+
+
+@pytest.mark.parametrize("kind", ["latin", "thai", "han", "token", "url", "long"])
+def test_recall_by_kind_of_line(spark, kind):
+    """Pairs of 0.8 and a little more by edits anywhere, in scripts without spaces and in long tokens too."""
+    rng = random.Random(kind)
+    letters = {"thai": "".join(map(chr, range(0x0E01, 0x0E2F))), "han": "".join(map(chr, range(0x4E00, 0x4F00)))}.get(kind, "abcdefghijklmnopqrstuvwxyz")
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(3, 8)))
+    make = {
+        "latin": lambda: " ".join(word() for _ in range(rng.randint(5, 40))), "thai": lambda: "".join(word() for _ in range(rng.randint(5, 40))), "han": lambda: "".join(word() for _ in range(rng.randint(5, 40))),
+        "token": lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(40, 200))), "url": lambda: "https://" + "/".join(word() for _ in range(rng.randint(5, 20))), "long": lambda: " ".join(word() for _ in range(1500)),
+    }[kind]
+    pairs = []
+    while len(pairs) < (30 if kind == "long" else 300):
+        a = b = make()
+        while (near := jaccard(a, c := edited(rng, b, letters))) >= line_dedup.SIMILARITY and rng.random() > (0.001 if kind == "long" else 0.02):
+            b = c
+        if b != a:
+            pairs.append((a, b))
+    found = shares_a_bucket(spark, pairs)
+    assert sum(found) >= 0.98 * len(pairs), sum(found) / len(pairs)
+
+
+def test_thin_lines(spark):
+    """Long lines of few different shingles, whose signatures are nearly empty, are compared all the same; so are they of different lengths."""
+    pairs = [("-" * 3000, "-" * 2000), ("ab " * 900, "ab " * 700), ("=+" * 500 + "end", "=+" * 800 + "end"), ("long and dull " * 60, "long and dull " * 90)]
+    assert all(shares_a_bucket(spark, pairs)) and not any(shares_a_bucket(spark, [("-" * 3000, "=" * 3000), ("ab " * 900, "ac " * 900)]))
 
 
 @pytest.mark.parametrize("n, many", [(150, line_dedup.MANY), (1500, line_dedup.MANY), (150, 20)])

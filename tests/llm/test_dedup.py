@@ -315,6 +315,7 @@ def test_crowded_lines_against_all_pairs(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").withColumn("uid", F.col("doc_id"))
     for few, many in ((1, 10**9), (1, 1)):
         monkeypatch.setattr(line_dedup, "FEW", few)
+        monkeypatch.setattr(line_dedup, "SOME", few)
         monkeypatch.setattr(line_dedup, "MANY", many)
         got = defaultdict(set)
         for r in line_dedup.near_lines(docs).collect():

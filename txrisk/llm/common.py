@@ -49,14 +49,24 @@ def release(*written: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def _rows_of_files(docs: DataFrame) -> bool:
+    """Whether each row of ``docs`` is a row of a file of its own: a scan, with nothing above it but columns and deterministic conditions."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias") and node.deterministic():
+        node = node.children().apply(0)
+    return node.nodeName() == "LogicalRelation"
+
+
 def with_row_id(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with ``name``: an id of each row that is the same whenever the table is read. Rows of files are known by their file
-    and their place in it; any other table is written once with numbers."""
-    try:
-        place = F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
-        return docs.select("*", place.alias(name))
-    except AnalysisException:  # not a file scan
-        return materialize(docs.withColumn(name, F.monotonically_increasing_id().cast("string")), "numbered")
+    """``docs`` with ``name``: an id of each row that no other row has, and that is the same whenever the table is read. Rows of files are known by
+    their file and their place in it; any other table, such as one that an explode, a join or a union made, is written once with numbers."""
+    if _rows_of_files(docs):
+        try:
+            place = F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
+            return docs.select("*", place.alias(name))
+        except AnalysisException:  # files of a kind without places
+            pass
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id().cast("string")), "numbered")
 
 
 def let(value: Column, body) -> Column:
@@ -75,15 +85,3 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tables(sf_dir: str, name: str) -> str:
     return f"{sf_dir}/{name}.parquet"
-
-
-def byte_runs(column) -> tuple[memoryview, list[int]]:
-    """The bytes and the n+1 offsets of an Arrow string or binary column without nulls."""
-    import numpy as np
-    import pyarrow as pa
-
-    kind = column.type
-    wide = pa.types.is_large_string(kind) or pa.types.is_large_binary(kind)
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    return memoryview(data) if data is not None else memoryview(b""), offsets.tolist()

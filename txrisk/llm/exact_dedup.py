@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, with_row_id
 
 #: Two primes below 2^31 and a base for each. Sums of byte * power over one block stay below 2^64.
 PRIMES = (2147483647, 2147483629)
@@ -66,7 +66,7 @@ def _hash_rows(primes):
                 fps.append((a << 31 | b))
                 sizes.append(len(data))
                 shas.append(hashlib.sha256(data).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), batch.column("raw"), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shas, pa.string())], ["uid", "doc_id", "raw", "fp", "n_bytes", "text_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shas, pa.string())], ["uid", "doc_id", "fp", "n_bytes", "text_sha256"])
 
     return run
 
@@ -83,11 +83,11 @@ def _stream_compare(batches):
             if r["lead"]:
                 key, held = now, r["bytes"].lower()
             elif now != key or r["bytes"].lower() != held:
-                out.append((r["d"], r["r"]))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["d", "r"])
+                out.append(r["uid"])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["uid"])
 
 
-def exact_dedup(docs: DataFrame, primes=PRIMES, per_salt: int = 1000) -> DataFrame:
+def exact_dedup(docs: DataFrame, primes=PRIMES, per_salt: int = 100) -> DataFrame:
     """Groups of documents whose texts are equal after lower-casing A-Z; null counts as the empty text.
 
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored. Returns for each row: doc_id, keep_id (the largest doc_id of
@@ -100,34 +100,31 @@ def exact_dedup(docs: DataFrame, primes=PRIMES, per_salt: int = 1000) -> DataFra
        ``size / per_salt`` tasks, with a copy of its representative's block in each), and stream past the representative's block;
        a task holds one block. Those that differ, collisions, form a group of their own and are compared again until none is left.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).withColumn("raw", F.xxhash64("text", F.lit(7)))
-    rows = materialize(keyed.withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc_id", "raw", "text").mapInArrow(_hash_rows(primes), "uid long, doc_id long, raw long, fp long, n_bytes long, text_sha256 string"), "exact-rows")
+    keyed = with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "uid").withColumn("text", F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    rows = materialize(keyed.select("uid", "doc_id", "text").mapInArrow(_hash_rows(primes), "uid string, doc_id long, fp long, n_bytes long, text_sha256 string"), "exact-rows")
     group = ["fp", "n_bytes", "split"]
     rows = rows.withColumn("split", F.lit(0))
     while True:
         top = F.max(F.struct("doc_id", "uid"))
         groups = materialize(rows.groupBy(*group).agg(top.alias("top"), F.count("*").alias("group_size")).where("group_size > 1"), "exact-groups")
-        members = rows.join(groups, group)
-        wrong = _mismatches(keyed, members, per_salt)
+        wrong = _mismatches(keyed, rows.join(groups, group), per_salt)
         if wrong.isEmpty():
             break
         again = wrong.distinct().withColumn("again", F.lit(1))
-        rows = materialize(rows.join(again, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("raw") == F.col("r")), "left").withColumn("split", F.col("split") + F.coalesce("again", F.lit(0))).drop("again", "d", "r"), "exact-rows")
+        rows = materialize(rows.join(again, "uid", "left").withColumn("split", F.col("split") + F.coalesce("again", F.lit(0))).drop("again"), "exact-rows")
     out = rows.join(groups, group, "left")
     alone = F.col("top").isNull()
     return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (alone | (F.col("top.uid") == F.col("uid"))).alias("kept"), "text_sha256")
 
 
 def _mismatches(keyed: DataFrame, members: DataFrame, per_salt: int) -> DataFrame:
-    """The (doc_id, raw) of those of ``members`` whose bytes differ from those of their group's representative.
-
-    A row is known by its doc_id and the hash of its unchanged text; repeated rows have one entry on the members' side."""
+    """The uid of those of ``members`` whose bytes differ from those of their group's representative, the one row of uid ``top.uid``."""
     salts = F.ceil(F.col("group_size") / per_salt).cast("int")
     group = ["fp", "n_bytes", "split"]
-    who = members.repartition("doc_id", "raw").groupBy(*group, F.col("doc_id").alias("d"), F.col("raw").alias("r")).agg(F.max(F.col("uid") == F.col("top.uid")).alias("lead"), F.max(salts).alias("salts"))
-    who = who.withColumn("salts", F.when(F.col("lead"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("d", "r"), F.col("salts")).cast("int"))))
-    texts = keyed.join(who.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("raw") == F.col("r")))
+    lead = F.col("uid") == F.col("top.uid")
+    dealt = F.when(lead, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("uid"), salts).cast("int")))
+    texts = keyed.select("uid", "text").join(members.select("uid", *group, lead.alias("lead"), dealt.alias("salts")).hint("shuffle_hash"), "uid")
     blocks = texts.withColumn("block", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n_bytes") - 1) / BLOCK)).cast("int"))))
-    blocks = blocks.select(*group, "block", F.explode("salts").alias("salt"), "lead", "d", "r", F.expr(f"substring(text, block * {BLOCK} + 1, {BLOCK})").alias("bytes"))
+    blocks = blocks.select(*group, "block", F.explode("salts").alias("salt"), "lead", "uid", F.expr(f"substring(text, block * {BLOCK} + 1, {BLOCK})").alias("bytes"))
     dealt = blocks.repartition(*group, "block", "salt").sortWithinPartitions(*group, "block", "salt", F.desc("lead"))
-    return materialize(dealt.mapInArrow(_stream_compare, "d long, r long"), "exact-wrong")
+    return materialize(dealt.mapInArrow(_stream_compare, "uid string"), "exact-wrong")

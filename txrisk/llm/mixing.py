@@ -61,7 +61,7 @@ def mix(docs: DataFrame, domain: Column, weights, budget: Column, max_epochs: in
     but their place; which of them stands first is open and doesn't change the result. An empty table, or a budget of 0, gives none.
 
     A leaf may hold a third of all rows: its order is cut into 4096 buckets of the order key, whose sums are few; only documents
-    in the one bucket that the prefix ends in are ordered among themselves."""
+    in the one bucket that the prefix ends in are ordered among themselves, and of these, rows of one doc_id (or of none) and one length are counted first."""
     name = lambda c: F.coalesce(c, F.lit(""))
     keyed = docs.select("doc_id", name(domain).alias("domain"), name(F.col("lang")).alias("lang"), name(F.col("source")).alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("n_tokens"), (F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()).alias("__row"))
     rows = materialize(keyed, "mix-rows")
@@ -78,10 +78,35 @@ def mix(docs: DataFrame, domain: Column, weights, budget: Column, max_epochs: in
     sums = sums.select(*LEAF, "__bucket", (end - F.col("tokens")).alias("__start"), end.alias("__end"))
     placed = last.join(sums, [*LEAF, "__bucket"])
     inside = placed.where("__end <= rest")
-    within = F.sum("n_tokens").over(Window.partitionBy(*LEAF, "__bucket").orderBy("__key", "doc_id", "n_tokens", "__row").rowsBetween(Window.unboundedPreceding, 0))
-    edge = placed.where("__start <= rest AND __end > rest").withColumn("__sum", F.col("__start") + within).where("__sum <= rest")
+    edge = materialize(placed.where("__start <= rest AND __end > rest"), "mix-edge")
+    # rows of one document and length are equal here: they are counted before any are put in order
+    alike = [*LEAF, "__key", "doc_id", "n_tokens"]
+    equals = edge.groupBy(*alike).agg(F.count("*").alias("__n"), F.first("__start").alias("__start"), F.first("rest").alias("rest"))
+    upto = F.sum(F.col("n_tokens") * F.col("__n")).over(Window.partitionBy(*LEAF).orderBy("__key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
+    room = F.col("rest") - F.col("__start") - upto + F.col("n_tokens") * F.col("__n")
+    fits = F.when(room < 0, 0).when(F.col("n_tokens") == 0, F.col("__n")).otherwise(F.least("__n", F.floor(room / F.col("n_tokens")))).cast("long")
+    equals = materialize(equals.withColumn("__take", fits).where("__take > 0").select(*alike, "__n", "__take"), "mix-equals")
+    same = F.lit(True)
+    for c in alike:
+        same &= F.col(f"edge.{c}").eqNullSafe(F.col(f"equals.{c}"))
+    chosen = edge.alias("edge").join(equals.alias("equals"), same).select("edge.*", "__n", "__take")
     columns = ["__row", "doc_id", *LEAF, "n_tokens", "epoch"]
-    return full.select(columns).union(inside.select(columns)).union(edge.select(columns))
+    return full.select(columns).union(inside.select(columns)).union(chosen.where("__take = __n").select(columns)).union(_some(chosen.where("__take < __n"), alike).select(columns))
+
+
+def _some(rows: DataFrame, alike: list[str]) -> DataFrame:
+    """``__take`` of each group of equal ``rows``, by a hash of __row. Of a hot group only one bucket of the hash is put in order."""
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64("__row"), F.lit(1 << BUCKET_BITS)))
+    sums = rows.groupBy(*alike, "__part").agg(F.count("*").alias("__here"), F.first("__take").alias("__take"))
+    upto = F.sum("__here").over(Window.partitionBy(*alike).orderBy("__part"))
+    sums = sums.select(*alike, "__part", (F.col("__take") - upto + F.col("__here")).alias("__left"), F.col("__here").alias("__many")).where("__left > 0")
+    same = F.col("rows.__part") == F.col("sums.__part")
+    for c in alike:
+        same &= F.col(f"rows.{c}").eqNullSafe(F.col(f"sums.{c}"))
+    both = rows.alias("rows").join(sums.alias("sums"), same).select("rows.*", "__left", "__many")
+    place = F.row_number().over(Window.partitionBy(*alike, "__part").orderBy("__row"))
+    part = both.where("__left < __many").withColumn("__place", place).where("__place <= __left").drop("__place")
+    return both.where("__left >= __many").union(part)
 
 
 #: The tree of the query and the pipeline has sources in three domains by their number.

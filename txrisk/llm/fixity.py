@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, with_row_id
 
 FANOUT = 16
+#: Equal records are dealt to so many parts before each gets its place among them.
+SPREAD = 4096
 
 
 def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
@@ -22,11 +24,23 @@ def lay_out(records: DataFrame, per_file: int = 4096) -> DataFrame:
     ``records`` has digest (hex) and length; other columns stay. Adds file, seq (0, 1, ...) and offset within the file. The file follows
     from the digest, so no id, host or page can make a file hot; inside a file records stand in the order of their digests. Equal
     records have equal digests and stand side by side."""
+    columns = records.columns
+    records = with_row_id(records, "__row")
     n_files = records.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / per_file)).cast("long").alias("n_files"))
     dealt = records.crossJoin(F.broadcast(n_files))  # one row
     dealt = dealt.withColumn("file", F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % F.col("n_files")).drop("n_files")
-    order = Window.partitionBy("file").orderBy("digest", "length")
-    return dealt.withColumn("seq", (F.row_number().over(order) - 1).cast("long")).withColumn("offset", F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    # equal records stand side by side: they are counted before they are put in order, and spread out again by their number
+    sizes = dealt.groupBy("file", "digest", "length").agg(F.count("*").alias("__n"))
+    order = Window.partitionBy("file").orderBy("digest", "length").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda x: F.coalesce(F.sum(x).over(order), F.lit(0)).cast("long")
+    sizes = sizes.withColumn("__seq", before(F.col("__n"))).withColumn("__offset", before(F.col("__n") * F.col("length")))
+    spread = dealt.withColumn("__part", F.pmod(F.xxhash64("__row"), F.lit(SPREAD)))
+    parts = spread.groupBy("file", "digest", "length", "__part").agg(F.count("*").alias("__here"))
+    ahead = F.coalesce(F.sum("__here").over(Window.partitionBy("file", "digest", "length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = parts.withColumn("__ahead", ahead).join(sizes, ["file", "digest", "length"])
+    within = F.row_number().over(Window.partitionBy("file", "digest", "length", "__part").orderBy("__row")) - 1 + F.col("__ahead")
+    placed = spread.join(places, ["file", "digest", "length", "__part"]).withColumn("__within", within)
+    return placed.withColumns({"seq": (F.col("__seq") + F.col("__within")).cast("long"), "offset": (F.col("__offset") + F.col("__within") * F.col("length")).cast("long")}).select(*columns, "file", "seq", "offset")
 
 
 def height(largest: int | None, fanout: int) -> int:
@@ -106,7 +120,7 @@ def drill(pages: DataFrame, per_file: int = 4096, fanout: int = FANOUT) -> DataF
     """The audit of the damaged copy, with page_id: what it finds is what ``damaged_copy`` did, at the record's place."""
     laid = materialize(lay_out(materialize(damaged_copy(pages), "warc"), per_file), "warc-index")
     copy = laid.where("copy_digest IS NOT NULL").select("file", "seq", "offset", "length", F.col("copy_digest").alias("digest"))
-    return audit(laid, copy, fanout).join(laid.select("file", "seq", "page_id"), ["file", "seq"])
+    return audit(laid, copy, fanout).join(laid.select("file", "seq", "page_id"), ["file", "seq"], "left")
 
 
 def drill_sql(per_file: int = 4096) -> str:

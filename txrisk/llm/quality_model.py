@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from .features import SHAPE, shape_features
 
 
-def _featured(rows: DataFrame, extra: str) -> DataFrame:
+def _featured(rows: DataFrame) -> DataFrame:
+    """(doc_id, kind, x) of ``rows``, one row for each doc_id and kind: of several texts of a doc_id one is taken before any leaves for the driver."""
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             column = pa.array([shape_features(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), column], ["kind", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("kind"), column], ["doc_id", "kind", "x"])
 
-    return rows.select(extra, "text").mapInArrow(run, f"{extra} int, x binary")
+    return rows.select("doc_id", "kind", "text").mapInArrow(run, "doc_id long, kind int, x binary").groupBy("doc_id", "kind").agg(F.min("x").alias("x"))
 
 
 def fit_nnpu(positive, unlabelled, prior: float, epochs: int = 60, rate: float = 0.02, decay: float = 1e-4, seed: int = 0):
@@ -70,16 +72,16 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = 8
 
     ``labels`` has doc_id and quality; rows of it where ``may_learn`` (over doc_id) isn't true, and null qualities, are never looked at.
     A doc_id with several labels counts as positive if all of them are 1. Unlabelled texts are drawn from documents under the same rule
-    whatever their label. Both samples are the first by a hash of doc_id, so they don't depend on partitions. ``prior``: estimated from
+    whatever their label. Both samples are the first doc_ids by a hash, so they don't depend on partitions; a doc_id that comes often counts once. ``prior``: estimated from
     the two samples if not given. With no positives or no documents there is no model: None."""
     import numpy as np
 
     first = F.xxhash64("doc_id", F.lit(seed))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(may_learn & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"))
     good = known.where("q = 1").select("doc_id").orderBy(first).limit(sample).withColumn("kind", F.lit(1))
-    web = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(may_learn & F.col("doc_id").isNotNull()).orderBy(first).limit(sample).withColumn("kind", F.lit(0))
+    web = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(may_learn & F.col("doc_id").isNotNull()).distinct().orderBy(first).limit(sample).withColumn("kind", F.lit(0))
     chosen = good.union(web)  # at most twice ``sample`` ids
-    rows = _featured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), "kind").toPandas()
+    rows = _featured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")).toPandas()  # at most twice ``sample`` rows
     kinds = rows["kind"].to_numpy()
     x = np.frombuffer(b"".join(rows["x"]), dtype=np.float32).reshape(-1, SHAPE).astype(np.float64)
     order = np.lexsort(x.T[::-1])  # the order in which rows arrive must not matter

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .features import gram_features
@@ -12,17 +12,24 @@ UNKNOWN = "und"
 
 
 def codewords(n_classes: int, n_bits: int | None = None, seed: int = 0):
-    """A code of +1 and -1: of 200 seeded tables, the one whose rows are farthest apart and whose columns all split the classes."""
+    """A code of +1 and -1, one row a class. No two columns part the classes alike, since such bits would be learnt twice and err together: up to six
+    classes have every way to part them, 2^(n-1) - 1; for more, of 200 seeded tables of about 10 log2 n columns the one whose rows are farthest apart."""
     import numpy as np
 
-    bits = n_bits or max(15, 2 * int(np.ceil(10 * np.log2(max(2, n_classes)) / 2)) + 1)
+    if n_classes < 2:
+        return np.ones((n_classes, 1), dtype=int)
+    if n_classes <= 6 and n_bits is None:
+        return np.array([[1 if i == 0 or not k >> (i - 1) & 1 else -1 for k in range(1, 2 ** (n_classes - 1))] for i in range(n_classes)])
+    bits = n_bits or max(15, int(np.ceil(10 * np.log2(n_classes))))
     rng, best, found = np.random.default_rng(seed), -1, None
-    for _ in range(200):
-        m = rng.choice([-1, 1], size=(n_classes, bits))
-        if n_classes > 1:
-            for c in np.flatnonzero(np.abs(m.sum(axis=0)) == n_classes):
-                m[rng.integers(n_classes), c] *= -1
-        apart = min((int((m[i] != m[j]).sum()) for i in range(n_classes) for j in range(i)), default=bits)
+    for _ in range(200 if n_classes < 100 else 5):
+        m = rng.choice([-1, 1], size=(n_classes, 2 * bits))
+        m = m[:, np.abs(m.sum(axis=0)) < n_classes]
+        m = np.unique(m * m[0], axis=1)  # a column and its opposite part the classes alike
+        m = m[:, rng.permutation(m.shape[1])[:bits]]
+        product = m @ m.T
+        np.fill_diagonal(product, -bits)
+        apart = int((m.shape[1] - product.max()) // 2)
         if apart > best:
             best, found = apart, m
     return found
@@ -32,8 +39,9 @@ def text_features(text: str | None):
     return gram_features(b" " + b" ".join((text or "").lower().encode().split()) + b" ", SIZES, WIDTH)
 
 
-def fit(x, y, n_classes: int, seed: int = 0, epochs: int = 150, rate: float = 0.5, decay: float = 1e-5):
-    """One logistic classifier for each bit of the codewords, all at once by full gradient steps (Adam); returns (code, weights, intercepts)."""
+def fit(x, y, n_classes: int, seed: int = 0, epochs: int = 100, rate: float = 0.5, decay: float = 1e-5):
+    """One logistic classifier for each bit of the codewords, all at once by full gradient steps (Adam); returns (code, weights, intercepts, trust).
+    ``trust`` says how often each bit is right for the texts of each class; a class's row sums to the number of bits."""
     import numpy as np
 
     code = codewords(n_classes, seed=seed)
@@ -48,15 +56,17 @@ def fit(x, y, n_classes: int, seed: int = 0, epochs: int = 150, rate: float = 0.
             state[i] = 0.9 * state[i] + 0.1 * grad
             state[i + 1] = 0.999 * state[i + 1] + 0.001 * grad * grad
             value -= rate * (state[i] / (1 - 0.9**t)) / (np.sqrt(state[i + 1] / (1 - 0.999**t)) + 1e-8)
-    return code, w, b
+    right = (target * (x @ w + b) > 0).astype(np.float64)
+    trust = np.array([right[y == i].mean(axis=0) if (y == i).any() else np.ones(code.shape[1]) for i in range(n_classes)]) + 1e-3
+    return code, w, b, trust * code.shape[1] / trust.sum(axis=1, keepdims=True)
 
 
-def decode(margins, code):
-    """Loss-weighted decoding: of each row of margins, the codeword of least logistic loss, that loss's share as a score, and whether
-    it is ambiguous (the second codeword is nearly as near)."""
+def decode(margins, code, trust=None):
+    """Loss-weighted decoding: of each row of margins, the codeword of least logistic loss, where a bit's loss weighs as much for a class as
+    the bit is to be trusted on it; that loss's share as a score, and whether it is ambiguous (the second codeword is nearly as near)."""
     import numpy as np
 
-    loss = np.logaddexp(0, -margins[:, None, :] * code[None]).sum(axis=2)
+    loss = np.stack([(np.logaddexp(0, -margins * code[i]) * (1 if trust is None else trust[i])).sum(axis=1) for i in range(len(code))], axis=1)
     near = np.exp(-(loss - loss.min(axis=1, keepdims=True)))
     share = near / near.sum(axis=1, keepdims=True)
     best = loss.argmin(axis=1)
@@ -65,21 +75,26 @@ def decode(margins, code):
     return best, top[:, -1], top[:, -1] - second < 0.2
 
 
-def train(docs: DataFrame, may_learn: Column, sample: int = 3000, seed: int = 0):
-    """A model from at most ``sample`` texts, as many of each language: (languages, code, weights, intercepts), or None if there is none to
+def train(docs: DataFrame, may_learn: Column, sample: int = 3000, seed: int = 0, most_languages: int = 2000):
+    """A model from at most ``sample`` texts, as many of each language (two at least): (languages, code, weights, intercepts, trust), or None if there is none to
     learn from. Only rows of ``docs`` where ``may_learn`` (over doc_id) holds, with a text and a language, are looked at; the sample is the
-    first of each language by a hash of doc_id. Languages are values of ``lang``, at most 200 of them, the commonest first."""
+    first of each language by a hash of doc_id, of rows that share one the text that comes first. Every value of ``lang`` is a language; over ``most_languages`` raise a ValueError,
+    since their codewords would outgrow the driver."""
     import numpy as np
 
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()
+    counts = usable.groupBy("lang").count().orderBy("lang").limit(most_languages + 1).collect()
     if not counts:
         return None
-    sample = max(10, sample // len(counts))
+    if len(counts) > most_languages:
+        raise ValueError(f"lang has over {most_languages} values")
+    sample = max(2, sample // len(counts))
     # of each language about ``sample`` rows by a threshold on the hash, then exactly so many of these
-    spread = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000))
-    limits = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1_000_000, int(1_200_000 * sample / r["count"]) + 1)))])
-    near = usable.where(spread < F.coalesce(F.try_element_at(limits, F.col("lang")), F.lit(0)))
+    spread, all_ = F.xxhash64("doc_id", F.lit(seed)), 2**63
+    limits = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(all_ - 1, int(2 * all_ * (2 * sample + 20) / r["count"]) - all_)))])
+    near = usable.withColumn("order", spread).where(F.col("order") <= F.try_element_at(limits, F.col("lang")))
+    near = near.groupBy("lang", "order").agg(F.min("text").alias("text"))
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).where(F.col("place") <= sample)
     languages = sorted(r["lang"] for r in counts)
 
     def run(batches):
@@ -89,8 +104,8 @@ def train(docs: DataFrame, may_learn: Column, sample: int = 3000, seed: int = 0)
             column = pa.array([text_features(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("order"), column], ["lang", "order", "x"])
 
-    found = near.select("lang", F.xxhash64("doc_id", F.lit(seed)).alias("order"), "text").mapInArrow(run, "lang string, order long, x binary")
-    rows = found.toPandas().sort_values(["lang", "order"], kind="stable").groupby("lang").head(sample)
+    found = near.select("lang", "order", "text").mapInArrow(run, "lang string, order long, x binary")
+    rows = found.toPandas().sort_values(["lang", "order"], kind="stable")  # at most ``sample`` of each language
     x = np.frombuffer(b"".join(rows["x"]), dtype=np.float32).reshape(-1, WIDTH)
     y = np.searchsorted(languages, rows["lang"].to_numpy().astype(str)) if len(rows) else np.zeros(0, dtype=int)
     return (languages, *fit(x, y, len(languages), seed)) if len(rows) else None
@@ -111,10 +126,10 @@ def predict(docs: DataFrame, model) -> DataFrame:
             can = np.array([model is not None and t is not None and letter.search(t) is not None for t in texts], dtype=bool)
             pred, score, unsure = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
             where = np.flatnonzero(can)
-            for at in range(0, len(where), 500):
+            for at in range(0, len(where), 200):
                 part = where[at : at + 500]
-                languages, code, w, b = model
-                best, share, doubt = decode(np.array([text_features(texts[i]) for i in part]) @ w + b, code)
+                languages, code, w, b, trust = model
+                best, share, doubt = decode(np.array([text_features(texts[i]) for i in part]) @ w + b, code, trust)
                 for i, k in zip(part, best):
                     pred[i] = languages[k]
                 score[part], unsure[part] = share, doubt

@@ -11,6 +11,8 @@ from ..roles import Roles
 HOUR = 3_600_000_000
 WINDOWS = {"1h": HOUR, "1d": 24 * HOUR, "3d": 72 * HOUR, "7d": 168 * HOUR, "10d": 240 * HOUR, "15d": 360 * HOUR}
 AGGREGATES = ("sum", "mean", "median", "max", "min")
+#: Entities with more rows than this in a stretch as long as the longest window are worked through in blocks.
+CROWDED = 4000
 
 
 def window_length(name: str) -> int:
@@ -25,21 +27,40 @@ def _aggregate(kind: str, value: str) -> Column:
     return {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}[kind](value)
 
 
-def velocity_grid(df: DataFrame, values: tuple[str, ...] = ("monto",), windows: tuple[str, ...] = tuple(WINDOWS), aggregates: tuple[str, ...] = AGGREGATES, roles: Roles = Roles(), buckets: bool = False) -> DataFrame:
+def velocity_grid(df: DataFrame, values: tuple[str, ...] = ("monto",), windows: tuple[str, ...] = tuple(WINDOWS), aggregates: tuple[str, ...] = AGGREGATES, roles: Roles = Roles(), buckets: bool = False, crowded: int = CROWDED) -> DataFrame:
     """``df`` with ``{value}_{aggregate}_{window}`` for each combination: the aggregate over the entity's rows of [t - w, t). Rows of the same
     time don't count, the lower bound does; null where there is none, for a null entity and for a null time.
 
     All frames share one partitioning and one order, so the whole grid costs one exchange and one sort. With ``buckets`` an
     entity's rows are cut by time into stretches as long as the longest window, and each stretch also gets the rows of the one before
-    as context: a hot entity is then dealt over many tasks, for twice the rows.
+    as context: a busy entity is then dealt over many tasks, for twice the rows.
+
+    A frame is read anew for each row, which is the square of the rows in a window. So entities with more than ``crowded`` rows in one stretch, if a count
+    finds any, get their sums, means, minima and maxima in time that grows with their rows (``_in_blocks``). Medians have no such way and cost the square there.
     """
     wide = max(window_length(w) for w in windows)
     rows = df.withColumn("__t", F.unix_micros(F.col(roles.time).cast("timestamp")))
     known = F.col(roles.entity).isNotNull() & F.col("__t").isNotNull()
-    keys = [roles.entity]
+    busy = rows.where(known).groupBy(F.col(roles.entity).alias("__busy"), F.floor(F.col("__t") / wide).alias("__s")).count().where(F.col("count") > crowded).select("__busy").distinct()
+    if set(aggregates) <= {"median"} or busy.isEmpty():
+        return _in_frames(rows, values, windows, aggregates, roles, buckets).drop("__t")
+    marked = rows.join(busy, F.col(roles.entity) == F.col("__busy"), "left")
+    quiet = _in_frames(marked.where("__busy IS NULL").drop("__busy"), values, windows, aggregates, roles, buckets)
+    loud = marked.where("__busy IS NOT NULL").drop("__busy")
+    if "median" in aggregates:
+        loud = _in_frames(loud, values, windows, ("median",), roles, True)
+    for w in windows:
+        loud = _in_blocks(loud, values, w, [x for x in aggregates if x != "median"], roles)
+    return quiet.unionByName(loud).drop("__t")
+
+
+def _in_frames(rows: DataFrame, values, windows, aggregates, roles: Roles, buckets: bool) -> DataFrame:
+    """The grid by one window frame for each combination; ``rows`` has __t."""
+    wide = max(window_length(w) for w in windows)
+    known = F.col(roles.entity).isNotNull() & F.col("__t").isNotNull()
     # rows that have no frame are spread over tasks by their key instead of forming one partition of nulls
     rows = rows.withColumn("__none", F.when(known, F.lit(0).cast("long")).otherwise(F.xxhash64(roles.key)))
-    keys.append("__none")
+    keys = [roles.entity, "__none"]
     if buckets:
         stretch = F.floor(F.col("__t") / wide)
         rows = rows.withColumn("__copy", F.explode(F.when(known, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).withColumn("__stretch", F.coalesce(stretch, F.lit(0)) + F.col("__copy"))
@@ -49,7 +70,33 @@ def velocity_grid(df: DataFrame, values: tuple[str, ...] = ("monto",), windows:
     out = rows.withColumns(grid)
     if buckets:
         out = out.where("__copy = 0")
-    return out.drop("__t", "__none", "__copy", "__stretch")
+    return out.drop("__none", "__copy", "__stretch")
+
+
+def _in_blocks(rows: DataFrame, values, window: str, aggregates, roles: Roles) -> DataFrame:
+    """The columns of one window length w, in linear time. Time is cut into blocks as long as w, so that [t - w, t) is the end of one
+    block from t - w on and the start of the next up to t. Each block holds its own rows and a copy of the block before, put later by w:
+    running aggregates in the order of time give the start, and in the opposite order those copies give the end. An entity is
+    dealt over as many tasks as it has blocks."""
+    w = window_length(window)
+    copies = rows.withColumn("__copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__block", F.floor(F.col("__t") / w) + F.col("__copy"))
+    copies = copies.withColumn("__at", F.col("__t") + w * F.col("__copy")).withColumn("__back", -F.col("__at"))
+    keys = Window.partitionBy(roles.entity, "__block")
+    start, end = keys.orderBy("__at").rangeBetween(Window.unboundedPreceding, -1), keys.orderBy("__back").rangeBetween(Window.unboundedPreceding, 0)
+    part = lambda agg, v, copy, over: agg(F.when(F.col("__copy") == copy, F.col(v))).over(over)
+    needed = sorted({"min": ["min"], "max": ["max"], "sum": ["sum"], "mean": ["sum", "count"]}[a][i] for a in aggregates for i in range(2 if a == "mean" else 1))
+    functions = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
+    halves = {f"__{v}_{x}_{side}": part(functions[x], v, copy, over) for v in values for x in dict.fromkeys(needed) for side, copy, over in (("start", 0, start), ("end", 1, end))}
+    out = copies.withColumns(halves).where("__copy = 0")
+
+    def whole(v: str, x: str) -> Column:
+        a, b = F.col(f"__{v}_{x}_start"), F.col(f"__{v}_{x}_end")
+        if x in ("min", "max"):
+            return {"min": F.least, "max": F.greatest}[x](a, b)  # nulls don't count
+        return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
+
+    made = {f"{v}_{a}_{window}": F.when(whole(v, "count") > 0, whole(v, "sum") / whole(v, "count")) if a == "mean" else whole(v, a) for v in values for a in aggregates}
+    return out.withColumns(made).drop("__copy", "__block", "__at", "__back", *halves)
 
 
 def with_history(new: DataFrame, history: DataFrame, values: tuple[str, ...] = ("monto",), windows: tuple[str, ...] = tuple(WINDOWS), aggregates: tuple[str, ...] = AGGREGATES, roles: Roles = Roles()) -> DataFrame:
@@ -63,13 +110,25 @@ def with_history(new: DataFrame, history: DataFrame, values: tuple[str, ...] = (
     return velocity_grid(both, values, windows, aggregates, roles).where("__new").drop("__new")
 
 
-def row_position(df: DataFrame, time: str, key: str, name: str = "position") -> DataFrame:
-    """``df`` with each row's place in time order, from 0; equal times in order of the key, null times last. Rows are ordered only
-    within their day, and a table with a row a day gives the offsets."""
-    day = df.withColumn("__day", F.to_date(time))
-    counts = day.groupBy("__day").count()
-    before = F.sum("count").over(Window.orderBy(F.col("__day").isNull(), "__day").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(F.col("__day").alias("__d"), F.coalesce(before, F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__day").orderBy(time, key)) - 1
-    placed = day.withColumn("__inside", inside).join(offsets, F.col("__day").eqNullSafe(F.col("__d")))
-    return placed.withColumn(name, (F.col("__before") + F.col("__inside")).cast("long")).drop("__day", "__d", "__before", "__inside")
+def row_position(df: DataFrame, time: str, key: str, name: str = "position", crowded: int = 50_000) -> DataFrame:
+    """``df`` with each row's place in time order, from 0; equal times in order of the key, null times last.
+
+    Rows are put in order only within their second; what comes before a second is a running sum over the seconds of its day and over the days.
+    A second of more than ``crowded`` rows, such as midnight in a table of dates, is cut further by ranges of the key, if that is a whole number."""
+    at = F.coalesce(F.floor(F.unix_micros(F.col(time).cast("timestamp")) / 1_000_000), F.lit(2**53))
+    rows = df.withColumn("__at", at)
+    whole = df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
+    part = F.lit(0)
+    if whole:
+        seconds = rows.groupBy("__at").agg(F.count("*").alias("__n"), F.min(key).cast("double").alias("__low"), F.max(key).cast("double").alias("__high")).where(F.col("__n") > crowded)
+        rows = rows.join(seconds, "__at", "left")
+        part = F.coalesce(F.floor((F.col(key) - F.col("__low")) / (F.col("__high") - F.col("__low") + 1) * F.ceil(F.col("__n") / crowded)), F.lit(-1))  # null keys come first
+    rows = rows.withColumn("__part", part).drop("__n", "__low", "__high")
+    cells = rows.groupBy("__at", "__part").agg(F.count("*").alias("__n")).withColumn("__day", F.floor(F.col("__at") / 86_400))
+    days = cells.groupBy("__day").agg(F.sum("__n").alias("__n"))
+    before = lambda over: F.coalesce(F.sum("__n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select("__day", before(Window.orderBy("__day")).alias("__days"))
+    cells = cells.withColumn("__cells", before(Window.partitionBy("__day").orderBy("__at", "__part"))).join(days, "__day").select("__at", "__part", (F.col("__days") + F.col("__cells")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__at", "__part").orderBy(time, key)) - 1
+    placed = rows.join(cells, ["__at", "__part"]).withColumn(name, (F.col("__before") + inside).cast("long"))
+    return placed.select(*df.columns, name)

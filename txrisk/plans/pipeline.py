@@ -103,8 +103,10 @@ class Preprocessor:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Rows not trained on: maps of all training rows, and the training rows as history."""
+        df = self._grids(df, lambda rows, s, *grid: windows.with_history(rows, s.history, *grid, s.roles))
         for s in self.stages:
-            df = s.transform(df)
+            if not isinstance(s, VelocityStage):
+                df = s.transform(df)
         return df
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
@@ -112,15 +114,21 @@ class Preprocessor:
         base = df
         for s in self.stages:
             s.fit(base)
-        grid, rest = [s for s in self.stages if isinstance(s, VelocityStage)], [s for s in self.stages if not isinstance(s, VelocityStage)]
-        for roles in dict.fromkeys(s.roles for s in grid):  # all windows of an entity in one exchange
+        df = self._grids(df, lambda rows, s, *grid: windows.velocity_grid(rows, *grid, s.roles))
+        for s in self.stages:
+            if not isinstance(s, VelocityStage):
+                df = s.fit_transform(df) if isinstance(s, fitted.TargetEncoding) else s.transform(df)
+        return df
+
+    def _grids(self, df: DataFrame, add: Callable) -> DataFrame:
+        """All windows of an entity in one exchange, by ``add(rows, a stage, values, windows, aggregates)``."""
+        grid = [s for s in self.stages if isinstance(s, VelocityStage)]
+        for roles in dict.fromkeys(s.roles for s in grid):
             same = [s for s in grid if s.roles == roles]
-            df = windows.velocity_grid(df, tuple(dict.fromkeys(s.value for s in same)), tuple(dict.fromkeys(s.window for s in same)), tuple(dict.fromkeys(s.kind for s in same)), roles)
+            df = add(df, same[0], tuple(dict.fromkeys(s.value for s in same)), tuple(dict.fromkeys(s.window for s in same)), tuple(dict.fromkeys(s.kind for s in same)))
             wanted = {s.made for s in same}
             extra = [f"{v}_{a}_{w}" for v in {s.value for s in same} for a in {s.kind for s in same} for w in {s.window for s in same} if f"{v}_{a}_{w}" not in wanted]
             df = df.withColumnsRenamed({s.made: s.name for s in same}).drop(*extra)
-        for s in rest:
-            df = s.fit_transform(df) if isinstance(s, fitted.TargetEncoding) else s.transform(df)
         return df
 
     def outputs(self) -> list[str]:

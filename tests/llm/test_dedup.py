@@ -247,12 +247,13 @@ def test_short_lines_by_number_of_words(spark):
 
 def test_candidates_share_a_band_and_half_of_the_bins(spark):
     """One equal band is enough as long as at most DIFFER bins differ."""
-    bins, rows = line_dedup.BINS, []
-    for i, same in [(1, bins), (2, bins - line_dedup.DIFFER), (3, bins - line_dedup.DIFFER - 1)]:
-        rows.append((i, i, i, 1, False, *[15 * 100 * j + j % 15 if j < same else 15 * (100 * j + i) + (j + i) % 15 for j in range(bins)]))
-    signed = spark.createDataFrame(rows, ", ".join(["id long", "h1 long", "h2 long", "n_lines long", "thin boolean", *[f"m{j} int" for j in range(bins)]]))
+    n, rows = len(line_dedup.BANDS), []
+    sketch = lambda differing: [sum(1 << 4 * i for i in range(12) if i < differing - 12 * half) for half in (0, 1)]
+    for i, differing in [(1, 0), (2, line_dedup.DIFFER), (3, line_dedup.DIFFER + 1)]:
+        rows.append((i, i, i, 1, False, 7, *[100 * i + j for j in range(n - 1)], *sketch(differing)))
+    signed = spark.createDataFrame(rows, ", ".join(["id long", "h1 long", "h2 long", "n_lines long", "thin boolean", *[f"{b} long" for b in line_dedup.BANDS], "k1 long", "k2 long"]))
     pairs, crowd = line_dedup.candidates(signed)
-    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(1, 2)] and crowd.count() == 0
+    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(1, 2), (2, 3)] and crowd.count() == 0
 
 
 def edited(rng, line, letters):

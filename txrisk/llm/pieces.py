@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,8 +15,10 @@ SPACE = "▁"
 CHUNK = re.compile(" *[^ ]+| +")
 #: Chunks of up to so many symbols are merged in step with others; longer ones by an agenda of their own.
 IN_STEP = 48
-#: Chunks whose undropped form is remembered by a task: beyond it the memory is emptied. It bounds a worker's memory and changes no result.
+#: Forms of chunks that a task remembers: beyond it the memory is emptied. It bounds a worker's memory and changes no result.
 MEMORY = 1_000_000
+#: How many dropped merges of an occurrence are followed from form to form.
+DEPTH = 4
 NORMAL, UNKNOWN, CONTROL, BYTE = range(4)
 
 
@@ -205,10 +208,10 @@ def hashed_bounds(start, middle, end):
     return _mix(place + np.uint64(0x9E3779B97F4A7C15))
 
 
-def in_step(m: Model, chunks: list[str], keys, limit: int, made_of: list | None = None) -> list[bytes]:
+def in_step(m: Model, chunks: list[str], keys, limit: int, made_of: list | None = None, skips=None) -> list[bytes]:
     """Many short chunks at once: of each, the best merge left is made, until none has any. Chunks of one length are the rows of a
     table; its columns are the characters, each naming the next and the one before that still begin a symbol. ``made_of`` collects
-    (chunk numbers, bound hashes) of the merges made."""
+    (chunk numbers, bound hashes) of the merges made; candidates whose bound hashes are in a chunk's row of ``skips`` are skipped, too."""
     import numpy as np
 
     done: list = [None] * len(chunks)
@@ -234,6 +237,9 @@ def in_step(m: Model, chunks: list[str], keys, limit: int, made_of: list | None
             if limit and (live := np.flatnonzero(r < none)).size:  # noqa: B023
                 end = after[rows[live], second[live]]  # noqa: B023
                 r[live[dropped(key[who[rows[live]]], at[live], second[live], end, np.uint64(limit))]] = none  # noqa: B023
+            if skips is not None and (live := np.flatnonzero(r < none)).size:  # noqa: B023
+                place = hashed_bounds(at[live], second[live], after[rows[live], second[live]])  # noqa: B023
+                r[live[(skips[who[rows[live]]] == place[:, None]).any(axis=1)]] = none  # noqa: B023
             rank[rows, at], made[rows, at] = r, i  # noqa: B023
 
         if length > 1:
@@ -272,8 +278,10 @@ def in_step(m: Model, chunks: list[str], keys, limit: int, made_of: list | None
 
 
 class Encoder:
-    """Encodes texts of one task. Of each chunk the form without dropped merges is remembered, with its merges; a chunk's occurrence
-    in which none of these is dropped has this form, any other is merged anew."""
+    """Encodes texts of one task. Of each chunk the form without dropped merges is remembered, with its merges in their order. A chunk's
+    occurrence of which none of these is dropped has this form. In any other the first one dropped is known to be skipped, which leads to another
+    form, remembered under the first with its own merges; these are looked at in turn. So an occurrence is decided by its own key,
+    merge by merge. What comes once among the texts at hand, and what has over DEPTH dropped merges, is merged directly instead."""
 
     def __init__(self, path: str, dropout: float, seed: int, variants: int | None = None):
         self.m, self.seed, self.variants = model(path), seed, variants
@@ -284,7 +292,11 @@ class Encoder:
         import numpy as np
 
         self.known: dict[str, int] = {}
+        #: Of each form its chunk, ids, and the merges skipped on the way to it; ``after`` leads from a form and the place of its first dropped merge to the next.
+        self.chunk: list[str] = []
         self.plain: list[bytes] = []
+        self.skipped: list[tuple] = []
+        self.after: dict[int, int] = {}
         self.start, self.merges = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint64)
 
     def key(self, name) -> int:
@@ -295,57 +307,85 @@ class Encoder:
             return chunk_key("", xxhash.xxh64_intdigest(str(name), self.seed & (2**64 - 1)) % self.variants, self.seed)
         return chunk_key(str(name), 0, self.seed)
 
-    def learn(self, chunks: list[str]):
-        """Remember the undropped forms of new short chunks, and the merges that make them."""
+    def learn(self, chunks: list[str], skipped: list[tuple]):
+        """Remember the forms of short chunks when these merges are skipped, and the merges that make them."""
         import numpy as np
 
         starts, merges = [self.start], [self.merges]
         for at in range(0, len(chunks), 1 << 15):
-            part, made_of = chunks[at : at + (1 << 15)], []
-            self.known.update(zip(part, range(len(self.plain), len(self.plain) + len(part))))
-            self.plain += in_step(self.m, part, [0] * len(part), 0, made_of)
+            part, skips, made_of = chunks[at : at + (1 << 15)], skipped[at : at + (1 << 15)], []
+            deep = max(map(len, skips))
+            table = np.array([[*x, *[0] * (deep - len(x))] for x in skips], dtype=np.uint64) if deep else None
+            self.plain += in_step(self.m, part, [0] * len(part), 0, made_of, table)
+            self.chunk += part
+            self.skipped += skips
             who = np.concatenate([np.zeros(0, dtype=np.int64), *[w for w, _ in made_of]])
             what = np.concatenate([np.zeros(0, dtype=np.uint64), *[x for _, x in made_of]])
             merges.append(what[np.argsort(who, kind="stable")])
             starts.append(starts[-1][-1] + np.cumsum(np.bincount(who, minlength=len(part))))
         self.start, self.merges = np.concatenate(starts), np.concatenate(merges)
 
-    def any_dropped(self, which, keys):
-        """Whether a merge of the remembered chunk is dropped in this occurrence of it."""
+    def first_dropped(self, forms, keys):
+        """The place of the first merge of each form that is dropped in this occurrence of it; -1 for none."""
         import numpy as np
 
-        first, n = self.start[which], self.start[which + 1] - self.start[which]
+        first, n = self.start[forms], self.start[forms + 1] - self.start[forms]
         ends = np.cumsum(n)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)
-        hit = _mix(np.repeat(keys, n) ^ self.merges[at]) < np.uint64(self.limit)
-        upto = np.concatenate(([0], np.cumsum(hit)))
-        return upto[ends] > upto[ends - n]
+        who = np.repeat(np.arange(len(forms)), n)
+        at = np.arange(len(who)) + np.repeat(first - (ends - n), n)
+        hit = np.flatnonzero(_mix(keys[who] ^ self.merges[at]) < np.uint64(self.limit))
+        out = np.full(len(forms), -1, dtype=np.int64)
+        dropped_in, where = np.unique(who[hit], return_index=True)
+        out[dropped_in] = hit[where] - (ends - n)[dropped_in]
+        return out
 
     def encode(self, texts: list[str], names: list) -> list[bytes]:
         """The ids of each text, two bytes each. A merge is dropped by the document's name, the number of the chunk in its text, and the bounds."""
         import numpy as np
 
-        if len(self.known) > MEMORY:
+        if len(self.plain) > MEMORY:
             self.forget()
         cut = [CHUNK.findall(" " + t) if t else [] for t in texts]
         flat = [c for chunks in cut for c in chunks]
-        self.learn([c for c in set(flat) if c not in self.known and len(c) <= IN_STEP])
-        which = np.fromiter((self.known.get(c, -1) for c in flat), dtype=np.int64, count=len(flat))
+        short = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat)) <= IN_STEP
+        found = [self.known.get(c, -1) for c in flat]
+        often = Counter(flat[i] for i, k in enumerate(found) if k < 0)
+        if new := [c for c, n in often.items() if n > 1 and len(c) <= IN_STEP]:
+            self.known.update(zip(new, range(len(self.plain), len(self.plain) + len(new))))
+            self.learn(new, [()] * len(new))
+            found = [self.known.get(c, -1) if k < 0 else k for c, k in zip(flat, found)]
+        forms = np.array(found, dtype=np.int64)
         sizes = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
         ends = np.cumsum(sizes)
         place = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
         keys = _mix(np.repeat(np.array([self.key(x) for x in names], dtype=np.uint64), sizes) + _mix(place.astype(np.uint64)))
+        direct = [np.flatnonzero(short & (forms < 0))]
+        left = np.flatnonzero(forms >= 0) if self.limit else np.zeros(0, dtype=np.int64)
+        for depth in range(DEPTH + 1):
+            first = self.first_dropped(forms[left], keys[left])
+            left, first = left[first >= 0], first[first >= 0]
+            if depth == DEPTH or not len(left):
+                break
+            steps, which, often = np.unique(forms[left] * (IN_STEP + 1) + first, return_inverse=True, return_counts=True)
+            to = np.array([self.after.get(x, -1) for x in steps.tolist()], dtype=np.int64)
+            new = np.flatnonzero((to < 0) & (often > 1))
+            if len(new):
+                to[new] = np.arange(len(self.plain), len(self.plain) + len(new))
+                self.after.update(zip(steps[new].tolist(), to[new].tolist()))
+                above = [divmod(x, IN_STEP + 1) for x in steps[new].tolist()]
+                self.learn([self.chunk[f] for f, _ in above], [(*self.skipped[f], int(self.merges[self.start[f] + j])) for f, j in above])
+            forms[left] = to[which]
+            direct.append(left[forms[left] < 0])
+            left = left[forms[left] >= 0]
+        direct = np.concatenate([*direct, left])
         plain = self.plain
-        out = [plain[k] if k >= 0 else b"" for k in which.tolist()]
-        for i in np.flatnonzero(which < 0).tolist():
+        out = [plain[k] if k >= 0 else b"" for k in forms.tolist()]
+        for i in np.flatnonzero(~short).tolist():
             out[i] = by_agenda(self.m, flat[i], int(keys[i]), self.limit)
-        if self.limit:
-            short = np.flatnonzero(which >= 0)
-            again = short[self.any_dropped(which[short], keys[short])]
-            for at in range(0, len(again), 1 << 15):
-                part = again[at : at + (1 << 15)]
-                for i, ids in zip(part.tolist(), in_step(self.m, [flat[i] for i in part.tolist()], keys[part], self.limit)):
-                    out[i] = ids
+        for at in range(0, len(direct), 1 << 15):
+            part = direct[at : at + (1 << 15)]
+            for i, ids in zip(part.tolist(), in_step(self.m, [flat[i] for i in part.tolist()], keys[part], self.limit)):
+                out[i] = ids
         return [b"".join(out[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist())]
 
 

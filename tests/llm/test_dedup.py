@@ -322,3 +322,32 @@ def test_crowded_lines_against_all_pairs(spark, monkeypatch):
         for r in line_dedup.near_lines(docs).collect():
             got[r["component"]].add(lines[r["doc_id"]])
         assert len(got) == want and all(len({sets.find(v) for v in g}) == 1 for g in got.values())
+
+
+def test_row_ids_of_made_up_rows(spark, tmp_path):
+    """An explode, a join and a union of one scan repeat its rows: each has an id of its own, and no text is lost."""
+    from txrisk.llm import mixing
+    from txrisk.llm.common import with_row_id
+
+    spark.createDataFrame([(1, "line one of some length"), (2, "line two is another one")], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    scan = spark.read.parquet(str(tmp_path / "d"))
+    exploded = scan.select("doc_id", F.explode(F.array("text", F.concat("text", F.lit(" and a tail of its own that goes on")))).alias("text"))
+    joined = scan.join(spark.createDataFrame([(2, "x"), (2, "y")], "doc_id long, more string"), "doc_id", "left").select("doc_id", F.concat_ws(" ", "text", F.repeat("more", F.lit(40))).alias("text"))
+    for df in (exploded, joined, scan.union(exploded), scan.where("doc_id = 2").union(joined)):
+        ids = [r["row"] for r in with_row_id(df, "row").collect()]
+        assert len(ids) == len(set(ids)) == df.count()
+        texts = {r["text"] for r in df.collect()}
+        assert {r["text"] for r in line_dedup.dedup(df).collect()} == texts
+        assert {r["text"] for r in simhash.keep_one(df).collect()} == texts
+        copies = df.withColumns({"lang": F.lit("en"), "source": F.lit("s1")})
+        assert {r["text"] for r in mixing.mix_documents(copies, seed=1).collect()} == texts
+
+
+def test_exact_dedup_of_many_equal_rows(spark):
+    """Rows that repeat, doc_id and text, cost their number and not its square."""
+    import time
+
+    rows = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    began = time.time()
+    out = exact_dedup.exact_dedup(rows).agg(F.count("*").alias("n"), F.count_if("kept").alias("kept"), F.min("group_size").alias("size")).first()
+    assert (out["n"], out["kept"], out["size"]) == (50_000, 1, 50_000) and time.time() - began < 60

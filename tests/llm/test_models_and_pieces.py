@@ -97,7 +97,46 @@ def test_pieces_as_tables(spark, path):
 def test_codewords():
     for n in (1, 2, 4, 30):
         m = language_id.codewords(n)
-        assert m.shape[0] == n and all((m[i] != m[j]).sum() >= 3 for i in range(n) for j in range(i))
+        assert m.shape[0] == n and all((m[i] != m[j]).sum() >= min(3, n - 1) for i in range(n) for j in range(i))
+        ways = {tuple(c * c[0]) for c in m.T.tolist() for c in [__import__("numpy").array(c)]}
+        assert len(ways) == m.shape[1]  # no two bits part the classes alike
+    assert language_id.codewords(4).shape[1] == 7
+
+
+def test_bits_are_weighed_by_class():
+    """A bit that is never right on a class doesn't outvote the others there."""
+    import numpy as np
+
+    code = language_id.codewords(4)
+    margins = code[2:3] * 1.0
+    margins[:, :3] *= -6  # three bits are wrong, and loud
+    trust = np.ones(code.shape)
+    trust[2, :3] = 0.01
+    trust *= code.shape[1] / trust.sum(axis=1, keepdims=True)
+    assert language_id.decode(margins, code)[0][0] != 2 and language_id.decode(margins, code, trust)[0][0] == 2
+
+
+def test_every_language_is_learnt(spark):
+    """230 languages, each of its own letters; one doc_id that comes 500 times is one row of the sample."""
+    rows = [(i * 10 + k, " ".join(chr(0x3400 + 30 * i + (j * 7 + k) % 30) * 3 for j in range(40)), f"l{i:03d}") for i in range(230) for k in range(6)]
+    rows += [(5, "the same text again and again", "l000")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df, F.lit(True), sample=1150)
+    assert len(model[0]) == 230
+    found = language_id.predict(df.where("doc_id % 10 = 5 AND doc_id > 5"), model).collect()
+    assert sum(r["lang_pred"] == f"l{r['doc_id'] // 10:03d}" for r in found) >= 0.9 * len(found) == 0.9 * 229
+    with pytest.raises(ValueError):
+        language_id.train(df, F.lit(True), most_languages=200)
+
+
+def test_quality_sample_is_bounded(spark):
+    """A doc_id that comes often is one row of each sample, on its way to the driver too."""
+    docs = spark.createDataFrame([(1, f"a text that comes often {i}") for i in range(400)] + [(i, f"text {i}.") for i in range(2, 52)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 30)], "doc_id long, quality int")
+    rows = docs.withColumn("kind", F.lit(0)).union(docs.withColumn("kind", F.lit(1)))
+    assert quality_model._featured(rows).count() == 2 * 51
+    weights = quality_model.train(docs, labels, F.lit(True))
+    assert quality_model.score(docs, weights).count() == 450
 
 
 def test_errors_in_bits_are_corrected():
@@ -154,3 +193,65 @@ def test_quality_awkward_rows(spark):
     assert quality_model.train(docs, labels, F.lit(True)) is None
     assert [r["score"] for r in quality_model.score(docs, None).collect()] == [0.5] * 4
     assert quality_model.score(docs.limit(0), None).count() == 0
+
+
+def merged_one_by_one(own, text, name, dropout, seed):
+    """A second way to the ids: of each chunk all pairs of neighbours are looked at anew after each merge. Only the vocabulary is shared."""
+    import xxhash
+
+    full = 2**64 - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        return x ^ (x >> 31)
+
+    known = {own.id_to_piece(i): i for i in range(own.get_piece_size()) if not (own.is_control(i) or own.is_unknown(i) or own.is_byte(i))}
+    letters = set("".join(known))
+    document = xxhash.xxh64_intdigest(str(name).encode(), (seed * 1_000_003) & full)
+    chunks, at = [], 0
+    padded = " " + text
+    while at < len(padded):
+        end = at
+        while end < len(padded) and padded[end] == " ":
+            end += 1
+        while end < len(padded) and padded[end] != " ":
+            end += 1
+        chunks.append(padded[at:end])
+        at = end
+    ids = []
+    for number, chunk in enumerate(chunks if text else []):
+        key = mix((document + mix(number)) & full)
+        parts = [(i, i + 1) for i in range(len(chunk))]
+        shown = ["▁" if c == " " else "\0" if c == "▁" else c for c in chunk]
+        skipped = set()
+        while True:
+            best = None
+            for (a, b), (_, c) in zip(parts, parts[1:]):
+                piece = "".join(shown[a:c])
+                if piece in known and (a, b, c) not in skipped and all("".join(shown[x:y]) in known or (y - x == 1 and shown[x] in letters) for x, y in ((a, b), (b, c))):
+                    rank = (-own.get_score(known[piece]), a)
+                    best = min(best, (rank, a, b, c)) if best else (rank, a, b, c)
+            if best is None:
+                break
+            _, a, b, c = best
+            place = ((a << 42 | b << 21 | c) + 0x9E3779B97F4A7C15) & full
+            if mix(key ^ mix(place)) < int(dropout * 2**64):
+                skipped.add((a, b, c))
+                continue
+            i = parts.index((a, b))
+            parts[i : i + 2] = [(a, c)]
+        for a, b in parts:
+            piece = "".join(shown[a:b])
+            ids += [known[piece]] if piece in known else [own.piece_to_id(f"<0x{x:02X}>") for x in chunk[a:b].encode()]
+    return ids
+
+
+def test_dropout_against_merging_one_by_one(path, spark, small):
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = TEXTS + [r[0][:1500] for r in spark.read.parquet(f"{small}/documents.parquet").select("text").limit(25).collect()] + ["the same words over and over " * 40] * 3
+    names = [f"doc {i}" for i in range(len(texts))]
+    for t, n, blob in zip(texts, names, pieces.Encoder(path, 0.1, 7).encode(texts, names)):
+        assert ids_of(blob) == merged_one_by_one(own, t, n, 0.1, 7), t[:60]

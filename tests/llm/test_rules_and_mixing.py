@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from txrisk.llm import fixity, mixing, quality_rules, url_filter
+from txrisk.llm import fixity, mixing, quality_rules, queries, url_filter
 
 
 def brute_repeats(words, n=5):
@@ -150,3 +150,34 @@ def test_drill_on_awkward_pages(spark):
     corrupt = sorted(r["page_id"] for r in out if r["status"] == "corrupt")
     assert corrupt == [5, 102, 199, 296, 393, 490] and sorted(r["page_id"] for r in out if r["status"] == "missing") == [7, 7, 396]
     assert fixity.drill(pages.limit(0)).count() == 0
+
+
+def test_layout_of_many_equal_records(spark):
+    """Equal records fill one file without gaps, whoever places them."""
+    rows = [("aa" * 32, 10)] * 5000 + [("0b" * 32, 7)] * 3 + [(f"{i:064x}", 5) for i in range(50)]
+    out = fixity.lay_out(spark.createDataFrame(rows, "digest string, length long").withColumn("seq_of", F.lit(1)), per_file=1000).collect()
+    assert len(out) == len(rows)
+    by_file = {}
+    for r in out:
+        by_file.setdefault(r["file"], []).append((r["seq"], r["offset"], r["digest"], r["length"]))
+    for rows_ in by_file.values():
+        rows_.sort()
+        assert [r[0] for r in rows_] == list(range(len(rows_))) and [r[2] for r in rows_] == sorted(r[2] for r in rows_)
+        assert all(b[1] == a[1] + a[3] for a, b in zip(rows_, rows_[1:])) and rows_[0][1] == 0
+
+
+def test_mixing_of_equal_rows(spark):
+    """Of rows without a doc_id, all alike, as many are taken as the budget holds, and not one more."""
+    df = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("two words").alias("text"), F.lit("en").alias("lang"), F.lit("s1").alias("source"))
+    out = mixing.mix(df, F.lit("d"), {w: F.lit(1) for w in ("domain_weight", "lang_weight", "source_weight")}, F.lit(33_333) + F.sum("tokens") * 0, 2, 3)
+    assert out.count() == 16_666 and out.select("__row").distinct().count() == 16_666
+
+
+def test_url_verdicts_on_held_out_words(spark):
+    """Words and hosts that the labelled table doesn't have in that form; hosts of no known word are let through."""
+    weights = url_filter.train(queries.labelled_urls(spark))
+    urls = [(0, f"https://{h}.example.{e}/{f}/{n}", good) for good, hosts in ((False, ["best-casino", "casinos", "spammers", "adult-videos", "pokerbets", "cheapviagra", "freepills", "freeslots"]), (True, ["northern-library", "oldmuseum", "schools", "sciencenews", "weathers", "mylake", "quorum", "bluebird"])) for h in hosts for e in ("net", "com") for f in ("en", "es") for n in (3, 512)]
+    out = url_filter.judge(spark.createDataFrame(urls, "page_id long, url string, good boolean"), [], weights).collect()
+    hosts = {h: good for _, u, good in urls for h in [u.split("/")[2]]}
+    right = [(r["verdict"] == "allow") == hosts[r["host"]] for r in out]
+    assert sum(right) >= 0.95 * len(right), sum(right) / len(right)

@@ -279,3 +279,81 @@ def test_failing_entry(spark):
 def test_labels_at_their_bounds(spark):
     df = spark.createDataFrame([(0.1,), (0.0999,), (None,)], "x double")
     assert [r[0] for r in df.select(labels.label(F.col("x"), labels.PSI, missing=labels.NO_DATA)).collect()] == ["drift moderado", "sin drift", "sin datos"]
+
+
+@pytest.mark.parametrize("crowded", [0, 40])
+def test_busy_entities_in_blocks(spark, crowded):
+    """Worked through in blocks, all or some of the entities have what frames give them."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), None if i % 50 == 0 else f"2024-01-{rng.randint(1, 9):02d} {rng.randint(0, 23):02d}:{rng.choice((0, 30)):02d}:00", None if i % 7 == 0 else float(rng.randint(-50, 50)), 0) for i in range(400)]
+    t = frame(spark, rows)
+    names = [f"monto_{a}_{w}" for a in windows.AGGREGATES for w in ("1h", "1d", "3d")]
+    grid = lambda c: {r["k"]: [r[n] for n in names] for r in windows.velocity_grid(t, windows=("1h", "1d", "3d"), crowded=c).collect()}
+    got, want = grid(crowded), grid(10**9)
+    assert set(got) == set(want) and len(got) == 400
+    for k in want:
+        assert all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-9) for x, y in zip(got[k], want[k]))
+
+
+@pytest.mark.parametrize("key_type", ["long", "string"])
+def test_position_with_crowded_seconds(spark, key_type):
+    rng = random.Random(6)
+    rows = [(rng.randint(-500, 500) * 1000 + i, None if i % 40 == 0 else f"2024-01-0{rng.randint(1, 3)} 00:00:00") for i in range(300)] + [(None, "2024-01-02 00:00:00")]
+    t = spark.createDataFrame(rows, "k long, t string").select(F.col("k").cast(key_type).alias("k"), F.to_timestamp("t").alias("t"), F.lit(1).alias("position_of"))
+    got = {r["k"]: r["position"] for r in windows.row_position(t, "t", "k", crowded=10).collect()}
+    order = sorted(t.collect(), key=lambda r: (r["t"] is None, r["t"] and r["t"].timestamp(), r["k"] is not None, r["k"] or ""if key_type == "string" else r["k"] or 0))
+    assert got == {r["k"]: i for i, r in enumerate(order)}
+    assert windows.row_position(t.limit(0), "t", "k").count() == 0
+
+
+def test_history_windows_share_an_exchange(spark):
+    """A plan applies all windows of an entity to new rows in one pass over the history."""
+    t = frame(spark, [r for r in ROWS if r[2] and r[1]])
+    steps = [{"name": f"s{a}{w}", "type": f"{a}_window", "cols": ["monto"], "params": {"window": w}} for a in ("sum", "max") for w in ("1h", "1d")]
+    plan = pipeline.build_preprocessor({"steps": steps}).fit(t)
+    out = plan.transform(t.withColumn("fecha", F.col("fecha") + F.expr("INTERVAL 30 MINUTES")))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Union") == 1
+    assert out.where("k = 4").first()["monto_max_1h"] == 8.0
+
+
+def test_kolmogorov_p(spark):
+    rows = [(0.3, 50, 60), (0.05, 40, 40), (0.9, 30, 30), (0.0, 5, 5), (None, 5, 5), (0.11, 2000, 3000)]
+    got = [r["p"] for r in spark.createDataFrame(rows, "d double, n long, m long").select(drift.kolmogorov_p(F.col("d"), F.col("n"), F.col("m")).alias("p")).collect()]
+    for (d, n, m), p in zip(rows, got):
+        assert p is None if d is None else abs(p - special.kolmogorov_sf(d, n, m)) < 1e-12
+
+
+def test_rolling_against_slices():
+    from txrisk.streaming.jobs import rolling
+
+    rng = random.Random(8)
+    times = sorted(rng.randint(0, 200) for _ in range(150))
+    values = [rng.choice([None, float("nan"), float(rng.randint(-9, 9))]) if rng.random() < 0.2 else float(rng.randint(-9, 9)) for _ in times]
+    at = sorted(rng.sample(range(250), 60) + times[:20])
+    got = rolling(times, values, at, 30)
+    for i, t in enumerate(at):
+        seen = [v for u, v in zip(times, values) if t - 30 <= u < t and v is not None and v == v]
+        want = (sum(seen), sum(seen) / len(seen), max(seen), min(seen)) if seen else (None,) * 4
+        assert all(x is y is None or abs(x - y) < 1e-9 for x, y in zip((got["sum"][i], got["mean"][i], got["max"][i], got["min"][i]), want))
+
+
+def test_stream_with_history(spark, tmp_path):
+    """Rows of a stream see the history it was given; an idle entity leaves the state."""
+    from txrisk.streaming import jobs
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    t = frame(spark, [r for r in ROWS if r[2] and r[1] == "a"]).select("k", "j", "fecha", "monto")
+    t.where("k > 3").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(t.schema).parquet(str(tmp_path / "in"))
+    out = jobs.stream_velocity(stream, windows=("1d",), history=t.where("k <= 3"), watermark="1 hour")
+    q = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    q.awaitTermination(120)
+    assert one(spark.read.parquet(str(tmp_path / "out")), "monto_sum_1d") == {4: 7.0}
+
+
+def test_settings_and_small_helpers(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"steps": [1]}')
+    assert tables.load_config(str(tmp_path / "a.json")) == {"steps": [1]}
+    got = spark.createDataFrame([("2024-01-01 00:00:00",), ("no time",), (None,)], "t string").select(scalar.coerce_timestamp("t").alias("t")).collect()
+    assert [r["t"] is not None for r in got] == [True, False, False]
+    assert evaluate.elkan_threshold(1.0, 3.0) == 0.25

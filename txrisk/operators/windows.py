@@ -44,7 +44,7 @@ def velocity_grid(df: DataFrame, values: tuple[str, ...] = ("monto",), windows:
     busy = rows.where(known).groupBy(F.col(roles.entity).alias("__busy"), F.floor(F.col("__t") / wide).alias("__s")).count().where(F.col("count") > crowded).select("__busy").distinct()
     if set(aggregates) <= {"median"} or busy.isEmpty():
         return _in_frames(rows, values, windows, aggregates, roles, buckets).drop("__t")
-    marked = rows.join(busy, F.col(roles.entity) == F.col("__busy"), "left")
+    marked = rows.join(busy, known & (F.col(roles.entity) == F.col("__busy")), "left")
     quiet = _in_frames(marked.where("__busy IS NULL").drop("__busy"), values, windows, aggregates, roles, buckets)
     loud = marked.where("__busy IS NOT NULL").drop("__busy")
     if "median" in aggregates:
@@ -74,7 +74,7 @@ def _in_frames(rows: DataFrame, values, windows, aggregates, roles: Roles, bucke
 
 
 def _in_blocks(rows: DataFrame, values, window: str, aggregates, roles: Roles) -> DataFrame:
-    """The columns of one window length w, in linear time. Time is cut into blocks as long as w, so that [t - w, t) is the end of one
+    """The columns of one window length w, in linear time, for rows with an entity and a time. Time is cut into blocks as long as w, so that [t - w, t) is the end of one
     block from t - w on and the start of the next up to t. Each block holds its own rows and a copy of the block before, put later by w:
     running aggregates in the order of time give the start, and in the opposite order those copies give the end. An entity is
     dealt over as many tasks as it has blocks."""

@@ -83,8 +83,11 @@ WEEKS = [1, 2, 3, 4]
 _WTX = f"wt AS (SELECT *, {WEEK} AS week FROM tx)"
 _WV = "wv AS (" + union(f"SELECT '{c}' AS feature, {c}::DOUBLE AS value, week FROM wt WHERE {c} IS NOT NULL" for c in ("monto", "score", "b")) + ")"
 _KS = "ks AS (SELECT feature, week, max(abs(cw / tw - cr / tr)) AS ks, any_value(tr) AS n_ref, any_value(tw) AS n_cur FROM (SELECT *, sum(nw) OVER w AS cw, sum(nr) OVER w AS cr, sum(nw) OVER p AS tw, sum(nr) OVER p AS tr FROM (SELECT feature, t.week, value, count(*) FILTER (wv.week = t.week) AS nw, count(*) FILTER (wv.week = 0) AS nr FROM wv, (VALUES (1), (2), (3), (4)) t(week) GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY feature, week ORDER BY value), p AS (PARTITION BY feature, week)) GROUP BY 1, 2)"
+_X = "(ks * sqrt(n_ref::DOUBLE * n_cur / (n_ref + n_cur)))"
+_KS_P = f"""round(CASE WHEN {_X} < 1e-6 THEN 1.0 WHEN {_X} < 0.5 THEN greatest(0.0, 1 - sqrt(2 * pi()) / {_X} * list_sum([exp(-((2 * i - 1) * (2 * i - 1)) * pi() * pi() / (8 * {_X} * {_X})) FOR i IN range(1, 101)]))
+    WHEN {_X} IS NOT NULL THEN greatest(0.0, least(1.0, 2 * list_sum([(CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * i * i * {_X} * {_X}) FOR i IN range(1, 101)]))) END, 6)"""
 ks = lambda s, d: D.ks_drift(weekly(s, d), ["monto", "score", "b"], "week", WEEKS)
-add("d1_ks_drift", lambda s, d: ks(s, d).select("feature", "week", r6("ks_stat"), "n_ref", "n_cur", "ks_label"), tx_sql(f"SELECT feature, week, round(ks, 6) AS ks_stat, n_ref::BIGINT AS n_ref, n_cur::BIGINT AS n_cur, {L.label_sql('ks', L.KS_DRIFT, missing=L.NO_DATA)} AS ks_label FROM ks", _WTX, _WV, _KS))
+add("d1_ks_drift", lambda s, d: ks(s, d).select("feature", "week", r6("ks_stat"), "n_ref", "n_cur", r6("ks_p_value"), "ks_label"), tx_sql(f"SELECT feature, week, round(ks, 6) AS ks_stat, n_ref::BIGINT AS n_ref, n_cur::BIGINT AS n_cur, {_KS_P} AS ks_p_value, {L.label_sql('ks', L.KS_DRIFT, missing=L.NO_DATA)} AS ks_label FROM ks", _WTX, _WV, _KS))
 _PC = "pc AS (SELECT feature, week, category, count(*) AS n FROM (" + union(f"SELECT '{c}' AS feature, week, coalesce({c}::VARCHAR, '__MISSING__') AS category FROM wt" for c in ("g", "o", "j")) + ") GROUP BY 1, 2, 3)"
 _TOP = "tp AS (SELECT feature, category FROM pc WHERE week = 0 QUALIFY row_number() OVER (PARTITION BY feature ORDER BY n DESC, category) < 20)"
 _SH = "sh AS (SELECT feature, week, category, n / sum(n) OVER (PARTITION BY feature, week) AS pct FROM (SELECT pc.feature, week, CASE WHEN tp.category IS NULL THEN '__OTHER__' ELSE pc.category END AS category, sum(n) AS n FROM pc LEFT JOIN tp ON pc.feature = tp.feature AND pc.category = tp.category GROUP BY 1, 2, 3))"

@@ -26,46 +26,98 @@ def velocity_schema(roles: Roles, value: str, windows: tuple[str, ...], key_type
     return f"{roles.key} {key_type}, {roles.entity} string, {roles.time} timestamp, {value} double, {grid}"
 
 
+def rolling(times: list[int], values: list[float], at: list[int], length: int) -> dict[str, list]:
+    """Sum, mean, max and min of ``values`` over [t - length, t) for each t of ``at``; ``times`` and ``at`` ascend. Each value enters and leaves once."""
+    from collections import deque
+
+    out: dict[str, list] = {"sum": [], "mean": [], "max": [], "min": []}
+    low = high = n = 0
+    total, top, least = 0.0, deque(), deque()
+    for t in at:
+        while high < len(times) and times[high] < t:
+            if (v := values[high]) is not None and v == v:
+                total, n = total + v, n + 1
+                while top and values[top[-1]] <= v:
+                    top.pop()
+                while least and values[least[-1]] >= v:
+                    least.pop()
+                top.append(high)
+                least.append(high)
+            high += 1
+        while low < high and times[low] < t - length:
+            if (v := values[low]) is not None and v == v:
+                total, n = total - v, n - 1
+            low += 1
+        for q in (top, least):
+            while q and q[0] < low:
+                q.popleft()
+        if not n:
+            total = 0.0
+        for name, x in (("sum", total), ("mean", total / n if n else None), ("max", values[top[0]] if top else None), ("min", values[least[0]] if least else None)):
+            out[name].append(x if n else None)
+    return out
+
+
 class _Velocity(StatefulProcessor):
-    """Keeps an entity's rows of the longest window; a batch's rows are worked through in time order. A row sees those of [t - w, t)."""
+    """Keeps an entity's rows of the longest window; a batch's rows are worked through in time order. A row sees those of [t - w, t).
+    With a watermark, an entity that has been idle for the longest window is forgotten."""
 
-    def __init__(self, roles: Roles, value: str, windows: tuple[str, ...]):
-        self.roles, self.value, self.windows = roles, value, windows
+    def __init__(self, roles: Roles, value: str, windows: tuple[str, ...], forgets: bool = False):
+        self.roles, self.value, self.windows, self.forgets = roles, value, windows, forgets
         self.lengths = {w: window_length(w) for w in windows}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.rows = handle.getListState("rows", "t long, v double")
 
-    def handleInputRows(self, key, rows, timerValues):
+    def _times(self, rows) -> list[int]:
+        return rows[self.roles.time].astype("datetime64[us]").astype("int64").tolist()
+
+    def _keep(self, times: list[int], values: list[float]) -> None:
         import bisect
 
+        first = bisect.bisect_left(times, times[-1] - max(self.lengths.values())) if times else 0
+        self.rows.put([(t, v) for t, v in zip(times[first:], values[first:])])
+        if self.forgets and times:
+            for t in self.handle.listTimers():
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer((times[-1] + max(self.lengths.values())) // 1000 + 1)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        known = initialState.dropna(subset=[self.roles.time]).sort_values(self.roles.time, kind="stable")
+        self._keep(self._times(known), known[self.value].tolist())
+
+    def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
         new = pd.concat(list(rows)).sort_values(self.roles.time, kind="stable")
-        kept = sorted(self.rows.get()) if self.rows.exists() else []
-        times, values = [r[0] for r in kept], [r[1] for r in kept]
-        micros = new[self.roles.time].astype("datetime64[us]").astype("int64").tolist()
+        micros = self._times(new)
         # rows of this batch count for each other whatever their order of arrival
-        for t, v in zip(micros, new[self.value].tolist()):
-            at = bisect.bisect_right(times, t)
-            times.insert(at, t)
-            values.insert(at, v)
+        both = sorted([*(self.rows.get() if self.rows.exists() else []), *zip(micros, new[self.value].tolist())], key=lambda r: r[0])
+        times, values = [r[0] for r in both], [r[1] for r in both]
         out = {c: new[c].tolist() for c in (self.roles.key, self.roles.entity, self.roles.time, self.value)}
         for w, length in self.lengths.items():
-            cuts = [values[bisect.bisect_left(times, t - length) : bisect.bisect_left(times, t)] for t in micros]
-            cuts = [[x for x in c if x is not None and x == x] for c in cuts]
-            for name, f in (("sum", sum), ("mean", lambda c: sum(c) / len(c)), ("max", max), ("min", min)):
-                out[f"{self.value}_{name}_{w}"] = [f(c) if c else None for c in cuts]
-        first = bisect.bisect_left(times, times[-1] - max(self.lengths.values())) if times else 0
-        self.rows.put([(t, v) for t, v in zip(times[first:], values[first:])])
+            for name, x in rolling(times, values, micros, length).items():
+                out[f"{self.value}_{name}_{w}"] = x
+        self._keep(times, values)
         yield pd.DataFrame(out)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.rows.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def stream_velocity(stream: DataFrame, value: str = "monto", windows: tuple[str, ...] = ("1h", "1d"), roles: Roles = Roles(), key_type: str = "long") -> DataFrame:
+def stream_velocity(stream: DataFrame, value: str = "monto", windows: tuple[str, ...] = ("1h", "1d"), roles: Roles = Roles(), key_type: str = "long", history: DataFrame | None = None, watermark: str | None = None) -> DataFrame:
     """The causal sum, mean, max and min of each window for the rows of a stream, which come in event-time order from batch to batch. State is the
-    last ``max(window)`` of each entity. Rows without entity or time are left out. Append mode."""
-    rows = stream.select(roles.key, roles.entity, roles.time, F.col(value).cast("double").alias(value)).where(F.col(roles.entity).isNotNull() & F.col(roles.time).isNotNull())
-    return rows.groupBy(roles.entity).transformWithStateInPandas(statefulProcessor=_Velocity(roles, value, windows), outputStructType=StructType.fromDDL(velocity_schema(roles, value, windows, key_type)), outputMode="Append", timeMode="None")
+    last ``max(window)`` of each entity; ``history``, a table with entity, time and value, is what it begins with. With ``watermark`` (such as "1 hour") rows
+    later than that are left out, and entities idle for the longest window leave the state. Rows without entity or time are left out. Append mode."""
+    known = lambda df: df.where(F.col(roles.entity).isNotNull() & F.col(roles.time).isNotNull())
+    rows = known(stream.select(roles.key, roles.entity, roles.time, F.col(value).cast("double").alias(value)))
+    if watermark:
+        rows = rows.withWatermark(roles.time, watermark)
+    first = None if history is None else known(history.select(roles.entity, F.col(roles.time).cast("timestamp").alias(roles.time), F.col(value).cast("double").alias(value))).groupBy(roles.entity)
+    processor, kind = _Velocity(roles, value, windows, bool(watermark)), StructType.fromDDL(velocity_schema(roles, value, windows, key_type))
+    return rows.groupBy(roles.entity).transformWithStateInPandas(statefulProcessor=processor, outputStructType=kind, outputMode="Append", timeMode="EventTime" if watermark else "None", initialState=first)

@@ -351,3 +351,20 @@ def test_exact_dedup_of_many_equal_rows(spark):
     began = time.time()
     out = exact_dedup.exact_dedup(rows).agg(F.count("*").alias("n"), F.count_if("kept").alias("kept"), F.min("group_size").alias("size")).first()
     assert (out["n"], out["kept"], out["size"]) == (50_000, 1, 50_000) and time.time() - began < 60
+
+
+def test_only_impossible_pairs_are_ruled_out(spark):
+    """The maps of shingles never rule out a pair of 0.8 or more, and most that are far below."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij\U0001f600é") for _ in range(rng.randint(2, 7)))
+    rows = []
+    for i in range(300):
+        a = [word() for _ in range(rng.randint(1, 80))]
+        b = [w if rng.random() > rng.choice((0.0, 0.05, 0.1, 0.3, 0.9)) else word() for w in a] * rng.choice((1, 1, 1, 3))
+        rows.append((2 * i, " ".join(a), 2 * i + 1, " ".join(b)))
+    texts = spark.createDataFrame([x for a, s, b, t in rows for x in ((a, s), (b, t))], "id long, line string")
+    pairs = spark.createDataFrame([(a, b) for a, _, b, _ in rows], "a long, b long")
+    left = {r["a"] for r in line_dedup.possible(pairs, line_dedup._maps(texts)).collect()}
+    near = {a: jaccard(s, t) for a, s, _, t in rows}
+    assert all(a in left for a, x in near.items() if x >= line_dedup.SIMILARITY)
+    assert sum(a in left for a, x in near.items() if x < 0.5) < 0.1 * sum(x < 0.5 for x in near.values())

@@ -59,7 +59,8 @@ def logit_wald(ecdf: DataFrame, max_iterations: int = 35) -> DataFrame:
     All features are fitted together: a Newton step is one aggregate of five sums a feature over the value counts, and a 2 x 2 system
     each on the driver. Values are standardised for it and the slope is put back. Separation is flagged where the steps don't settle or the
     slope is over 20; with one class or one value there is nothing to fit: nulls and the flag."""
-    spark = ecdf.sparkSession
+    spark, held = ecdf.sparkSession, not ecdf.is_cached
+    ecdf = ecdf.persist()  # each step reads it
     base = ecdf.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.try_divide(F.sum((F.col("n0") + F.col("n1")) * F.col("value")), F.sum(F.col("n0") + F.col("n1"))).alias("mean"), F.sum((F.col("n0") + F.col("n1")) * F.col("value") * F.col("value")).alias("sq")).collect()
     state, final = {}, {}
     for r in base:
@@ -95,6 +96,8 @@ def logit_wald(ecdf: DataFrame, max_iterations: int = 35) -> DataFrame:
                 del state[r["feature"]]
             else:
                 state[r["feature"]] = [b0 + d0, b1 + d1, mean, sd]
+    if held:
+        ecdf.unpersist()
     return spark.createDataFrame([(f, *v) for f, v in final.items()], "feature string, logit_beta double, logit_odds_ratio double, logit_p_value double, logit_separation_detected boolean")
 
 

@@ -195,9 +195,12 @@ class TargetEncoding(Stage):
         # total less own fold, for all folds at once
         one = self.by_fold.alias("f").join(self.table.alias("t"), F.col(f"f.{self.col}").eqNullSafe(F.col(f"t.{self.col}")))
         other = one.select(F.col(f"f.{self.col}").alias("__cat"), F.col("f.fold").alias("__fold"), self.smooth(F.col("t.s") - F.col("f.s"), F.col("t.n") - F.col("f.n")).alias("__enc"))
-        rows = df.withColumn("__own", fold_of(self.key, self.num_folds))
-        joined = rows.join(other, F.col(self.col).eqNullSafe(F.col("__cat")) & (F.col("__own") == F.col("__fold")), "left")
-        return joined.withColumn(self.name, F.coalesce("__enc", F.lit(self.mean).cast("double"))).drop("__own", "__cat", "__fold", "__enc")
+        # the null category has a value a fold: one row with a map, looked up outside the join
+        of_null = other.where("__cat IS NULL AND __enc IS NOT NULL").agg(F.map_from_entries(F.collect_list(F.struct("__fold", "__enc"))).alias("__of_null"))
+        rows = df.withColumn("__own", fold_of(self.key, self.num_folds)).crossJoin(F.broadcast(of_null))
+        joined = rows.join(other.where("__cat IS NOT NULL"), (F.col(self.col) == F.col("__cat")) & (F.col("__own") == F.col("__fold")), "left")
+        enc = F.when(F.col(self.col).isNull(), F.try_element_at("__of_null", F.col("__own"))).otherwise(F.col("__enc"))
+        return joined.withColumn(self.name, F.coalesce(enc, F.lit(self.mean).cast("double"))).drop("__own", "__cat", "__fold", "__enc", "__of_null")
 
 
 @dataclass

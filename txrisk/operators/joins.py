@@ -22,9 +22,12 @@ def consolidate(base: DataFrame, *others: DataFrame, key: str = "k", check: bool
 
 
 def map_lookup(df: DataFrame, table: DataFrame, col: str, key: str, value: str, name: str) -> DataFrame:
-    """The value of a category, null where the table has none. The key is compared null-safe."""
-    side = table.select(F.col(key).alias("__key"), F.col(value).alias(name))
-    return df.join(side, F.col(col).eqNullSafe(F.col("__key")), "left").drop("__key")
+    """The value of a category, null where the table has none. Null is a category too, whose value is looked up outside the join; of several rows
+    for it the largest counts."""
+    of_null = table.where(F.col(key).isNull()).agg(F.max(value).alias("__of_null"))  # one row
+    side = table.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(value).alias("__value"))
+    both = df.join(side, F.col(col) == F.col("__key"), "left").crossJoin(F.broadcast(of_null))
+    return both.withColumn(name, F.when(F.col(col).isNull(), F.col("__of_null")).otherwise(F.col("__value"))).drop("__key", "__value", "__of_null")
 
 
 def top_categories(df: DataFrame, col: str, n: int) -> DataFrame:

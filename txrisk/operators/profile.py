@@ -230,7 +230,7 @@ def histogram_by_group(df: DataFrame, cols: list[str], group: str, bins: int = 4
     long = df.select(F.col(group).alias("grp"), F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("p")).select("grp", "p.*").where("v IS NOT NULL AND grp IS NOT NULL")
     span = long.groupBy("column_name", "grp").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("total"))
     width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(1.0)
-    binned = long.join(F.broadcast(span.withColumn("width", width)), ["column_name", "grp"])  # columns x classes rows
+    binned = long.join(span.withColumn("width", width), ["column_name", "grp"])  # broadcast or not by its size
     at = F.least(F.floor((F.col("v") - F.col("lo")) / F.col("width")), F.lit(bins - 1)).cast("int")
     out = binned.groupBy("column_name", "grp", at.alias("bin")).agg(F.first("lo").alias("lo"), F.first("width").alias("width"), F.first("total").alias("total"), F.count("*").alias("n"))
     return out.select("column_name", F.col("grp").alias("group"), "bin", F.round(F.col("lo") + F.col("bin") * F.col("width"), 6).alias("low"), "n", F.round(F.col("n") / (F.col("total") * F.col("width")), 8).alias("density"))
@@ -241,7 +241,7 @@ def box_stats_by_group(df: DataFrame, cols: list[str], group: str) -> DataFrame:
     long = df.select(F.col(group).alias("grp"), F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("p")).select("grp", "p.*").where("v IS NOT NULL AND grp IS NOT NULL")
     q = quantile_table(long, ["column_name", "grp"], "v", [0.25, 0.5, 0.75])
     q = q.select("column_name", "grp", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    near = long.join(F.broadcast(q), ["column_name", "grp"]).where("v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1)")  # columns x groups rows
+    near = long.join(q, ["column_name", "grp"]).where("v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1)")  # broadcast or not by its size
     ends = near.groupBy("column_name", "grp").agg(F.min("v").alias("low"), F.max("v").alias("high"))
     return q.join(ends, ["column_name", "grp"]).select("column_name", F.col("grp").alias("group"), *[F.round(c, 6).alias(c) for c in ("low", "q1", "median", "q3", "high")])
 

@@ -44,3 +44,17 @@ def test_pipeline_stages(spark, small):
     # no line stands twice in what line dedup kept
     lines = [x.strip().lower() for r in kept["line_dedup"].collect() for x in r["text"].split("\n") if x.strip()]
     assert len(lines) == len(set(lines))
+
+
+def test_pipeline_on_awkward_rows(spark, small, tmp_path):
+    """Nulls in any column, blank and repeated rows, a long text and extra columns go through all stages; so does an empty table."""
+    prose = "The old house by the river had stood empty for many years, and nobody in the village could say who owned it. "
+    other = "A second text of quite other words follows here, so that it is no copy of the first one in any way at all. "
+    rows = [(1, prose * 2, "en", "s1"), (1, prose * 2, "en", "s1"), (None, other, None, None), (None, other, None, None), (3, None, "en", "s2"), (4, "", "de", None), (5, " \n\t", None, "s3"), (6, "\n".join(f"{w} {other[i:]}" for i, w in enumerate(prose.split() * 40)), "fr", "s9"), (7, prose.upper(), "en", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 AS kept", "'x' AS component_id", "2 AS __gone", "cast(length(text) AS int) AS n_chars")
+    for table, least in ((docs, 1), (docs.limit(0), 0)):
+        out = table
+        for name, stage in corpus_pipeline.STAGES:
+            out = materialize(stage(spark, out, small), "test")
+            assert set(out.columns) == set(docs.columns) - {"text"} | {"ids"} if name == "pieces" else out.columns == docs.columns
+        assert out.count() >= least and out.where("ids IS NULL").isEmpty()

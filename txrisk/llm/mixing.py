@@ -128,9 +128,9 @@ def default_weights() -> dict[str, Column]:
 
 def mix_documents(docs: DataFrame, max_epochs: int = 2, seed: int = 0) -> DataFrame:
     """The documents of the default mix, with all their columns; a document chosen in two epochs comes twice."""
-    numbered = with_row_id(docs, "__row")
-    chosen = mix(numbered, default_domain(), default_weights(), F.sum("tokens"), max_epochs, seed)
-    return numbered.join(chosen.select("__row"), "__row").select(*docs.columns)
+    numbered = with_row_id(docs.select(F.struct("*").alias("__doc")), "__row")
+    chosen = mix(numbered.select("__doc.doc_id", "__doc.text", "__doc.lang", "__doc.source", "__row"), default_domain(), default_weights(), F.sum("tokens"), max_epochs, seed)
+    return numbered.join(chosen.select("__row"), "__row").select("__doc.*")
 
 
 def oracle_sql(max_epochs: int, seed: int) -> str:

@@ -194,8 +194,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, wide: int
 
 def keep_one(docs: DataFrame, shingle: int = 3, seed: int = 42, wide: int = WIDE) -> DataFrame:
     """``docs`` with one row of each class: the first by doc_id, null last, and of rows that repeat it one. All columns stay."""
-    known = with_row_id(docs, "__row")
-    rows = materialize(fingerprints(known, shingle, seed, "__row"), "simhash-rows")
+    known = with_row_id(docs.select(F.struct("*").alias("__doc")), "__row")
+    rows = materialize(fingerprints(known.select("__doc.doc_id", "__doc.text", "__row"), shingle, seed, "__row"), "simhash-rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
     first = classes(rows, F.min(order), wide).select(F.col("first.__row").alias("__row")).distinct()
-    return known.join(first, "__row", "left_semi").drop("__row")
+    return known.join(first, "__row", "left_semi").select("__doc.*")

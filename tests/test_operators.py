@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from txrisk.functions import labels, scalar, special
-from txrisk.operators import assoc, drift, ecdf, evaluate, fitted, joins, profile, split, windows
+from txrisk.operators import assoc, drift, ecdf, evaluate, fitted, joins, order, profile, split, windows
 from txrisk.plans import pipeline
 from txrisk.sources import tables
 
@@ -300,12 +300,40 @@ def test_position_with_crowded_seconds(spark, key_type):
     rng = random.Random(6)
     rows = [(rng.randint(-500, 500) * 1000 + i, None if i % 40 == 0 else f"2024-01-0{rng.randint(1, 3)} 00:00:00") for i in range(300)] + [(None, "2024-01-02 00:00:00")]
     t = spark.createDataFrame(rows, "k long, t string").select(F.col("k").cast(key_type).alias("k"), F.to_timestamp("t").alias("t"), F.lit(1).alias("position_of"))
-    got = {r["k"]: r["position"] for r in windows.row_position(t, "t", "k", crowded=10).collect()}
+    got = {r["k"]: r["position"] for r in windows.row_position(t, "t", "k").collect()}
     order = sorted(t.collect(), key=lambda r: (r["t"] is None, r["t"] and r["t"].timestamp(), r["k"] is not None, r["k"] or ""if key_type == "string" else r["k"] or 0))
     assert got == {r["k"]: i for i, r in enumerate(order)}
     assert windows.row_position(t.limit(0), "t", "k").count() == 0
 
 
+@pytest.mark.parametrize("key_type", ["long", "string"])
+def test_position_ranges_are_even(spark, key_type):
+    """A day of one date and a skewed key are dealt to ranges of about the same size: none has twice the median."""
+    t = spark.range(60_000).select(F.when(F.col("id") % 10 < 7, F.col("id") % 1000).otherwise(F.col("id") * 1_000_003).cast(key_type).alias("k"), F.lit("2024-01-01").cast("timestamp").alias("t"), F.col("id").alias("n"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    placed = order.ordered(t, ["t", "k", "n"])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert placed.agg(F.count_distinct("position"), F.max("position")).first() == (60_000, 59_999)
+    sizes = sorted(r["count"] for r in spark.read.parquet(placed._scratch_path).groupBy("__range").count().collect())
+    assert len(sizes) == 4 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_ordered_in_groups_with_sums(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "a", "b", None]), rng.randint(0, 5), rng.randint(1, 9)) for i in range(300)] * 2
+    t = spark.createDataFrame(rows, "i long, g string, v int, w long")
+    got = order.ordered(t, [F.col("v").desc(), F.col("i")], by=["g"], name="at", count="n", sums={"run": "w"}).collect()
+    want = {}
+    for r in sorted(rows, key=lambda r: (-r[2], r[0])):
+        of = want.setdefault(r[1], [])
+        of.append((r[0], r[2], len(of), (of[-1][3] if of else 0) + r[3]))
+    assert len(got) == 600
+    for g, expected in want.items():
+        mine = sorted((r["at"], r["i"], r["v"], r["run"], r["n"]) for r in got if r["g"] == g)
+        assert [(i, v, at, run) for at, i, v, run, _ in mine] == expected and {r[4] for r in mine} == {len(expected)}
+    assert order.ordered(t.limit(0), ["v"], by=["g"], count="n", sums={"run": "w"}).count() == 0
+
+
 def test_history_windows_share_an_exchange(spark):
     """A plan applies all windows of an entity to new rows in one pass over the history."""
     t = frame(spark, [r for r in ROWS if r[2] and r[1]])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .windows import row_position
@@ -49,17 +51,26 @@ def time_split(df: DataFrame, time: str, key: str, test_size: float = 0.2, val_s
         before = lambda cut: F.lit(True) if cut[0] is None else F.to_date(time) < F.lit(cut[0])
         side = F.when(before(train_day), "train").otherwise("test") if val_size is None else F.when(before(train_day), "train").when(before(test_day), "val").otherwise("test")
         return rows.withColumn("side", side)
-    placed = row_position(rows, time, key, "__at")
     if align_to_day:
         train_at = aligned_cut(starts, train_at)[1]
-    at = F.col("__at")
-    if val_size is None:
-        side = F.when(at < train_at, "train").otherwise("test")
-    elif alternate:
-        side = F.when(at < train_at, "train").when((at - train_at) % 2 == 0, "val").otherwise("test")
+    cuts = [train_at] if val_size is None or alternate else [train_at, max(train_at, test_at)]
+    days = [(day, first, end) for (day, first), (_, end) in zip(starts, starts[1:])]
+    day_of = F.to_date(time)
+    # only the days that a cut falls into, or all from there on where rows alternate, are put in order
+    if alternate:
+        loose = [(day_of >= day, first) for day, first, end in days if end > train_at][:1]
     else:
-        side = F.when(at < train_at, "train").when(at < max(train_at, test_at), "val").otherwise("test")
-    return placed.withColumn("side", side).drop("__at")
+        loose = [(day_of == day, first) for day, first, end in days if any(first < c < end for c in cuts)]
+    placed = rows.where(~reduce(Column.__or__, [x for x, _ in loose], F.lit(False))).withColumn("__at", F.lit(None).cast("long"))
+    for some, first in loose:
+        placed = placed.unionByName(row_position(rows.where(some), time, key, "__at").withColumn("__at", F.col("__at") + first))
+    before = lambda c: F.coalesce(F.col("__at") < c, day_of <= F.lit(max((day for day, _, end in days if end <= c), default=None)))
+    side = F.when(before(train_at), "train")
+    if alternate:
+        side = side.when((F.col("__at") - train_at) % 2 == 0, "val")
+    elif val_size is not None:
+        side = side.when(before(cuts[1]), "val")
+    return placed.withColumn("side", side.otherwise("test")).drop("__at")
 
 
 def shared_days(a: DataFrame, b: DataFrame, time: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..roles import Roles
+from .order import ordered
 
 #: Window lengths in microseconds.
 HOUR = 3_600_000_000
@@ -110,25 +111,8 @@ def with_history(new: DataFrame, history: DataFrame, values: tuple[str, ...] = (
     return velocity_grid(both, values, windows, aggregates, roles).where("__new").drop("__new")
 
 
-def row_position(df: DataFrame, time: str, key: str, name: str = "position", crowded: int = 50_000) -> DataFrame:
-    """``df`` with each row's place in time order, from 0; equal times in order of the key, null times last.
-
-    Rows are put in order only within their second; what comes before a second is a running sum over the seconds of its day and over the days.
-    A second of more than ``crowded`` rows, such as midnight in a table of dates, is cut further by ranges of the key, if that is a whole number."""
-    at = F.coalesce(F.floor(F.unix_micros(F.col(time).cast("timestamp")) / 1_000_000), F.lit(2**53))
-    rows = df.withColumn("__at", at)
-    whole = df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
-    part = F.lit(0)
-    if whole:
-        seconds = rows.groupBy("__at").agg(F.count("*").alias("__n"), F.min(key).cast("double").alias("__low"), F.max(key).cast("double").alias("__high")).where(F.col("__n") > crowded)
-        rows = rows.join(seconds, "__at", "left")
-        part = F.coalesce(F.floor((F.col(key) - F.col("__low")) / (F.col("__high") - F.col("__low") + 1) * F.ceil(F.col("__n") / crowded)), F.lit(-1))  # null keys come first
-    rows = rows.withColumn("__part", part).drop("__n", "__low", "__high")
-    cells = rows.groupBy("__at", "__part").agg(F.count("*").alias("__n")).withColumn("__day", F.floor(F.col("__at") / 86_400))
-    days = cells.groupBy("__day").agg(F.sum("__n").alias("__n"))
-    before = lambda over: F.coalesce(F.sum("__n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    days = days.select("__day", before(Window.orderBy("__day")).alias("__days"))
-    cells = cells.withColumn("__cells", before(Window.partitionBy("__day").orderBy("__at", "__part"))).join(days, "__day").select("__at", "__part", (F.col("__days") + F.col("__cells")).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__at", "__part").orderBy(time, key)) - 1
-    placed = rows.join(cells, ["__at", "__part"]).withColumn(name, (F.col("__before") + inside).cast("long"))
-    return placed.select(*df.columns, name)
+def row_position(df: DataFrame, time: str, key: str, name: str = "position") -> DataFrame:
+    """``df`` with each row's place in time order, from 0; equal times in order of the key, null times last, null keys first.
+
+    The rows are dealt to sampled ranges of (time, key) of any type (``ordered``), so neither a day of one date nor a skewed key makes a large task."""
+    return ordered(df, [F.col(time).cast("timestamp").asc_nulls_last(), F.col(key).asc_nulls_first()], name=name)

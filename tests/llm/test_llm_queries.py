@@ -7,7 +7,7 @@ import corpus_pipeline
 from txrisk.llm import queries
 from txrisk.llm.common import documents, materialize
 
-NAMES = ["line_dedup", "exact_dedup", "quality_model", "merkle_audit", "quality_rules", "url_filter", "simhash", "language_id", "pieces", "mixing"]
+NAMES = ["line_dedup", "exact_dedup", "quality_model", "merkle_audit", "quality_rules", "url_filter", "simhash", "language_id", "pieces", "mixing", "merkle_manifest", "sharding", "resampling"]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))

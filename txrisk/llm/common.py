@@ -2,52 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize, release, scratch_dir  # noqa: F401
+
 #: ASCII white space, and its complement: a word is a longest run of the latter.
 BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_BYTES = rb"[^\x20\x09-\x0D]+"
 
-_own_dirs: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. It is the session's ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary folder is made, once for each application."""
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if told:
-        return told.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="txrisk-")
-    return _own_dirs[app]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and return a reader of it. This cuts the lineage: a lost executor
-    costs the tasks it ran, not the steps before. The tables go with the folder, which belongs to the application."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def release(*written: DataFrame) -> None:
-    """Delete tables of ``materialize`` that nothing will read again."""
-    for df in written:
-        if path := getattr(df, "_scratch_path", None):
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-
 
 def _rows_of_files(docs: DataFrame) -> bool:
     """Whether each row of ``docs`` is a row of a file of its own: a scan, with nothing above it but columns and deterministic conditions."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fixity, language_id, line_dedup, mixing, pieces, quality_model, quality_rules, simhash, url_filter
+from . import exact_dedup, fixity, language_id, line_dedup, manifest, mixing, pieces, quality_model, quality_rules, resampling, sharding, simhash, url_filter
 from .common import documents, tables
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -94,6 +94,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), mixing.default_domain(), mixing.default_weights(), budget, max_epochs=2, seed=7).drop("__row")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    struck = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return manifest.manifest(documents(spark, sf_dir), tampered={"text": F.when(struck, lower).otherwise(F.col("text"))})
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_texts(documents(spark, sf_dir))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(tables(sf_dir, "benchmark")))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -105,6 +119,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_pieces": op9_pieces,
     "op10_mixing": op10_mixing,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_sharding": op12_sharding,
+    "op13_resampling": op13_resampling,
 }
 
 ORACLES = {
@@ -115,4 +132,6 @@ ORACLES = {
     "op4_merkle_audit": fixity.drill_sql(),
     "op5_quality_rules": quality_rules.oracle_sql(),
     "op10_mixing": mixing.oracle_sql(max_epochs=2, seed=7),
+    "op11_merkle_manifest": manifest.oracle_sql(),
+    "op13_resampling": resampling.oracle_sql(),
 }

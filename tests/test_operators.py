@@ -11,6 +11,8 @@ from txrisk.operators import assoc, drift, ecdf, evaluate, fitted, joins, order,
 from txrisk.plans import pipeline
 from txrisk.sources import tables
 
+from conftest import ROOT
+
 S = "k long, j string, fecha timestamp, monto double, fraude int"
 
 
@@ -379,6 +381,210 @@ def test_stream_with_history(spark, tmp_path):
     assert one(spark.read.parquet(str(tmp_path / "out")), "monto_sum_1d") == {4: 7.0}
 
 
+def _replay(stream, folder):
+    q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(folder / "c")).trigger(availableNow=True).start(str(folder / "out"))
+    q.awaitTermination(300)
+    return stream.sparkSession.read.schema(stream.schema).parquet(str(folder / "out")), q
+
+
+def _stateful(spark):
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return own
+
+
+def test_stream_of_late_rows(spark, tmp_path):
+    """Rows that arrive in any order within the watermark, a third of them of one entity, get what a table of all rows gives them; a row that is later is left out.
+    The busy entity's rows of a batch have several stretches, and state goes with them."""
+    from txrisk.streaming import jobs
+
+    rng = random.Random(12)
+    minutes = sorted(rng.sample(range(14 * 1440), 240))
+    rows = [(i, rng.choice(["hot", "b", "c"]) if i % 3 else "hot", f"2024-01-{1 + m // 1440:02d} {m % 1440 // 60:02d}:{m % 60:02d}:00", None if i % 11 == 0 else float(rng.randint(0, 50)), 0) for i, m in enumerate(minutes)]
+    t = frame(spark, rows).select("k", "j", "fecha", "monto", F.concat(F.lit("é|"), F.col("k").cast("string")).alias("note"), (F.col("k") / 3).alias("x"))
+    order_ = [r[0] for r in sorted(rows, key=lambda r: r[0] + rng.randint(0, 30))]  # rows come up to 30 rows late
+    for n in range(6):
+        t.where(F.col("k").isin(order_[40 * n : 40 * n + 40])).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    end = frame(spark, [(1000, "b", "2024-03-01 00:00:00", 1.0, 0)]).select("k", "j", "fecha", "monto", F.lit("end").alias("note"), F.lit(0.0).alias("x"))
+    end.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    late = frame(spark, [(1001, "b", "2024-01-02 00:00:00", 1e9, 0)]).select("k", "j", "fecha", "monto", F.lit("late").alias("note"), F.lit(0.0).alias("x"))
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    own = _stateful(spark)
+    stream = own.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out, query = _replay(jobs.stream_velocity(stream, windows=("1h", "3d"), aggregates=("sum", "median"), watermark="4 days", late=True, stretch="1d"), tmp_path)
+    got = {r["k"]: r for r in out.collect()}
+    want = {r["k"]: r for r in windows.velocity_grid(t, windows=("1h", "3d"), aggregates=("sum", "median")).collect()}
+    assert set(got) == set(want) and 1001 not in got
+    for k, r in want.items():
+        for c in r.asDict():
+            assert got[k][c] == r[c] or (isinstance(r[c], float) and abs(got[k][c] - r[c]) < 1e-9), (k, c)
+    progress = query.recentProgress
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) > progress[-1]["stateOperators"][0]["numRowsTotal"]
+    hot = t.where("j = 'hot'").select(F.floor(F.unix_micros("fecha") / windows.window_length("1d")).alias("s")).distinct().count()
+    assert hot >= 10  # keys of the busy entity, each a task's own
+
+
+def _plan_of(spark, train):
+    from txrisk.queries import scoring
+
+    return scoring.fit_plan(train)
+
+
+def test_saved_plan_in_a_fresh_process(spark, small, tmp_path):
+    """Another process loads the preprocessor with the model and gives raw rows the same features and scores; versions count up, and a half-written one doesn't exist."""
+    import shutil
+    import subprocess
+    import sys
+
+    from txrisk.plans import artifact
+
+    tx = tables.transactions(spark, small)
+    train, new = tx.where("fecha < timestamp'2024-01-21'"), tx.where("fecha >= timestamp'2024-01-21'")
+    plan, model, meta = _plan_of(spark, train)
+    artifact.save_model(model, meta, str(tmp_path / "m"), "a", plan)
+    artifact.save_model(model, meta, str(tmp_path / "m"), "b")
+    second = artifact.save_model(model, meta, str(tmp_path / "m"), "a", plan)
+    broken = artifact.save_model(model, meta, str(tmp_path / "m"), "a", plan)
+    shutil.rmtree(f"{broken}/manifest")  # the writer died before its last step
+    found = artifact.load_models(spark, str(tmp_path / "m"))
+    assert list(found) == ["a", "b"] and found["a"].version == 2 and found["b"].preprocessor is None
+    assert artifact.load_model(spark, str(tmp_path / "m"), "a", 1).version == 1 and second.endswith(artifact._manifests(spark, f"{tmp_path}/m/a/*/manifest")[-1]["folder"])
+    with pytest.raises(FileNotFoundError):
+        artifact.load_model(spark, str(tmp_path / "m"), "a", 3)
+    assert not artifact.load_models(spark, str(tmp_path / "none"))
+    want = {r["k"]: r for r in artifact.Artifact("a", 0, plan, model, meta).score(new).collect()}
+    code = f"""
+from pyspark.sql import SparkSession
+from txrisk.plans import artifact
+from txrisk.sources.tables import transactions
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+new = transactions(s, {small!r}).where("fecha >= timestamp'2024-01-21'")
+artifact.load_model(s, {str(tmp_path / 'm')!r}, "a").score(new).write.parquet({str(tmp_path / 'scored')!r})
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, cwd=str(ROOT), capture_output=True)
+    got = {r["k"]: r for r in spark.read.parquet(str(tmp_path / "scored")).collect()}
+    assert set(got) == set(want) and len(want) > 100
+    for k, r in want.items():
+        for c, v in r.asDict().items():
+            assert got[k][c] == v or (isinstance(v, float) and got[k][c] == pytest.approx(v, abs=1e-9)), (k, c)
+    with pytest.raises(Exception, match="history was kept"):
+        found["a"].score(train).count()
+
+
+def test_what_cannot_be_stored(spark, tmp_path):
+    from txrisk.plans import artifact
+
+    plan = pipeline.Preprocessor([fitted.Expression("x", F.lit(1))])
+    with pytest.raises(ValueError, match="make_stage"):
+        artifact._recipe(plan.stages[0])
+    kept = fitted.Standardizer(["a"], "_s")
+    assert artifact._built(artifact._recipe(kept)) == kept
+
+
+def test_streamed_scores(spark, small, tmp_path):
+    """Windows, maps and model in one stream, late rows too: each row's score is the batch's."""
+    from txrisk.plans import artifact
+    from txrisk.streaming import jobs
+
+    tx = tables.transactions(spark, small)
+    train, new = tx.where("fecha < timestamp'2024-01-21'"), tx.where("fecha >= timestamp'2024-01-21'")
+    plan, model, meta = _plan_of(spark, train)
+    artifact.save_model(model, meta, str(tmp_path / "m"), "a", plan)
+    own = _stateful(spark)
+    for n in range(3):
+        new.where(F.pmod(F.col("k"), F.lit(3)) == n).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    end = new.limit(1).withColumn("k", F.lit(-1)).withColumn("fecha", F.lit("2025-01-01").cast("timestamp"))
+    end.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = own.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out, _ = _replay(jobs.stream_scores(stream, artifact.load_model(own, str(tmp_path / "m"), "a"), watermark="60 days", late=True), tmp_path)
+    got = one(out, "probability_1")
+    want = one(artifact.Artifact("a", 0, plan, model, meta).score(new), "probability_1")
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_medians_of_ranges():
+    np = pytest.importorskip("numpy")
+    rng = random.Random(2)
+    for _ in range(20):
+        v = np.array([rng.choice([float("nan"), float(rng.randint(0, 9)), rng.random()]) for _ in range(rng.randint(1, 60))])
+        low = np.array([rng.randint(0, len(v)) for _ in range(30)])
+        high = np.array([rng.randint(a, len(v)) for a in low])
+        want = [np.nanmedian(v[a:b]) if (~np.isnan(v[a:b])).any() else np.nan for a, b in zip(low, high)]
+        assert np.array_equal(windows.range_medians(v, low, high), want, equal_nan=True)
+
+
+def test_medians_of_a_busy_entity_in_time(spark):
+    """Four times the rows of one entity, in the same time, cost no more than five times the time."""
+    import time
+
+    took = {}
+    for n in (10_000, 40_000, 10_000, 40_000):  # the first two warm up
+        rows = spark.range(n).select(F.col("id").alias("k"), F.lit("a").alias("j"), F.timestamp_seconds(1_704_067_200 + F.col("id") * 864_000 / n).alias("fecha"), (F.col("id") * 7919 % 1009).cast("double").alias("monto"))
+        began = time.time()
+        windows.velocity_grid(rows, windows=("15d",), aggregates=("median",)).write.format("noop").mode("overwrite").save()
+        took[n] = time.time() - began
+    assert took[40_000] <= 5 * took[10_000], took
+
+
+def test_kendall_by_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1.0, 1.0, float(rng.randint(0, 9)), rng.random()]), rng.choice([None, 0.0, 0.0, 0.0, rng.random()]), float(rng.randint(0, 400)), 5.0) for _ in range(500)]
+    t = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = {(r[0], r[1]): r[2] for r in profile.correlation_matrix(t, ["a", "b", "c", "d"], "kendall").collect()}
+    sign = lambda x: (x > 0) - (x < 0)
+    for i, x in enumerate("abcd"):
+        for j, y in enumerate("abcd"):
+            both = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+            s = [(sign(p[0] - q[0]), sign(p[1] - q[1])) for n, p in enumerate(both) for q in both[:n]]
+            below = math.sqrt(sum(u != 0 for u, _ in s) * sum(v != 0 for _, v in s))
+            assert got[x, y] == (pytest.approx(sum(u * v for u, v in s) / below, abs=1e-12) if below else None), (x, y)
+
+
+def test_exact_p_values():
+    """Counted orders: U without ties for small samples, and the distance of distributions; beyond, the limits."""
+    from itertools import combinations
+
+    for m, n in ((1, 6), (3, 4), (4, 5)):
+        orders = list(combinations(range(m + n), m))
+        us = [sum(a - i for i, a in enumerate(o)) for o in orders]
+        assert special.rank_sum_counts(m, n) == [us.count(u) for u in range(m * n + 1)]
+        for u in range(m * n + 1):
+            far = max(u, m * n - u)
+            assert special.rank_sum_two_sided(u, m, n, 0.0, 0.0) == pytest.approx(min(1.0, 2 * sum(x >= far for x in us) / len(us)))
+
+        def distance(o, m=m, n=n):
+            at, best = 0, 0.0
+            for k in range(m + n):
+                at += k in o
+                best = max(best, abs(at / m - (k + 1 - at) / n))
+            return best
+
+        ds = [distance(set(o)) for o in orders]
+        for d in {round(x, 12) for x in ds}:
+            assert special.distance_sf(d, m, n) == pytest.approx(sum(x >= d - 1e-9 for x in ds) / len(ds))
+    assert special.rank_sum_two_sided(0, 3, 3, -1.7, 0) == pytest.approx(0.1)
+    assert special.distance_sf(1.0, 10, 10) == pytest.approx(2 / math.comb(20, 10), rel=1e-9)
+    assert special.rank_sum_two_sided(0, 9, 9, 2.0, 0) == special.normal_two_sided(2.0) == special.rank_sum_two_sided(0, 3, 3, 2.0, 6)
+    assert special.distance_sf(0.02, 20_000, 9_000) == special.kolmogorov_sf(0.02, 20_000, 9_000)
+    assert special.distance_sf(0.03, 9_000, 8_000) == pytest.approx(special.kolmogorov_sf(0.03, 9_000, 8_000), rel=0.05)
+
+
+def test_quantiles_by_selection(spark):
+    """Ties, one value, nulls, few rows and many: what numpy's linear interpolation gives, also where the sketch is coarse."""
+    np = pytest.importorskip("numpy")
+    rng = random.Random(4)
+    rows = [(None if i % 7 == 0 else rng.gauss(0, 1) ** 3, float(i % 3), 4.0, None, float(i) if i < 3 else None) for i in range(3000)]
+    t = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    at = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
+    for accuracy in (20, 10_000):
+        got = fitted.quantiles(t, list("abcde"), at, accuracy)
+        for i, c in enumerate("abce"):
+            have = [r["abcde".index(c)] for r in rows if r["abcde".index(c)] is not None]
+            assert got[c] == pytest.approx(np.quantile(have, at).tolist(), abs=1e-12)
+        assert got["d"] is None
+    assert fitted.quantiles(t.limit(0), ["a"], [0.5]) == {"a": None}
+
+
 def test_settings_and_small_helpers(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"steps": [1]}')
     assert tables.load_config(str(tmp_path / "a.json")) == {"steps": [1]}

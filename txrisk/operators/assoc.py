@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +17,13 @@ from .ecdf import value_ecdf
 
 
 def _p(function, *args: Column) -> Column:
-    """A tail probability for each of a few result rows; null where an argument is."""
-    return F.udf(lambda *x: None if any(v is None or v != v for v in x) else float(function(*x)), "double")(*[a.cast("double") for a in args])
+    """A tail probability for each of a few result rows, one a feature; null where an argument is."""
+
+    @F.pandas_udf("double")
+    def of(*columns: pd.Series) -> pd.Series:
+        return pd.Series([None if any(v is None or v != v for v in row) else float(function(*row)) for row in zip(*columns)], dtype="float64")
+
+    return of(*[a.cast("double") for a in args])
 
 
 def continuous_statistics(ecdf: DataFrame) -> DataFrame:
@@ -50,7 +56,7 @@ def continuous_statistics(ecdf: DataFrame) -> DataFrame:
     pooled = F.sqrt(spread / (n - 2))
     out = out.withColumn("cohens_d", F.when((F.col("n0") > 1) & (F.col("n1") > 1) & (spread > 0), (F.col("m1") - F.col("m0")) / pooled))
     out = out.withColumn("auc_abs", F.greatest("auc", 1 - F.col("auc")))
-    return out.select("feature", "n0", "n1", "mannwhitney_stat", "mannwhitney_z", "ks_stat", "point_biserial_corr", "point_biserial_t", "auc", "auc_abs", label(F.col("auc_abs"), AUC).alias("auc_interpretation"), "cohens_d", label(F.abs("cohens_d"), COHEN_D).alias("cohens_d_interpretation"))
+    return out.select("feature", "n0", "n1", "mannwhitney_stat", "mannwhitney_z", "ties", "ks_stat", "point_biserial_corr", "point_biserial_t", "auc", "auc_abs", label(F.col("auc_abs"), AUC).alias("auc_interpretation"), "cohens_d", label(F.abs("cohens_d"), COHEN_D).alias("cohens_d_interpretation"))
 
 
 def logit_wald(ecdf: DataFrame, max_iterations: int = 35) -> DataFrame:
@@ -109,7 +115,7 @@ def continuous_battery(df: DataFrame, cols: list[str], target: str) -> DataFrame
     """All tests of the continuous features, one row each, the best AUC first."""
     ecdf = value_ecdf(df, cols, target).persist()
     s = continuous_statistics(ecdf).join(logit_wald(ecdf), "feature", "left")
-    s = s.withColumn("mannwhitney_p_value", _p(special.normal_two_sided, F.col("mannwhitney_z"))).withColumn("ks_p_value", _p(special.kolmogorov_sf, F.col("ks_stat"), F.col("n0"), F.col("n1"))).withColumn("point_biserial_p_value", _p(special.t_two_sided, F.col("point_biserial_t"), F.col("n0") + F.col("n1") - 2))
+    s = s.withColumn("mannwhitney_p_value", _p(special.rank_sum_two_sided, *[F.col(c) for c in ("mannwhitney_stat", "n0", "n1", "mannwhitney_z", "ties")])).withColumn("ks_p_value", _p(special.distance_sf, F.col("ks_stat"), F.col("n0"), F.col("n1"))).withColumn("point_biserial_p_value", _p(special.t_two_sided, F.col("point_biserial_t"), F.col("n0") + F.col("n1") - 2))
     columns = ["mannwhitney_stat", "mannwhitney_p_value", "ks_stat", "ks_p_value", "point_biserial_corr", "point_biserial_p_value", "auc", "auc_abs", "auc_interpretation", "cohens_d", "cohens_d_interpretation", "logit_beta", "logit_odds_ratio", "logit_p_value", "logit_separation_detected"]
     return s.select(F.col("feature").alias("variable"), *columns).orderBy(F.desc_nulls_last("auc_abs"), "variable")
 

@@ -1,14 +1,12 @@
-"""Training, saving and applying classifiers with Spark's ML library."""
+"""Training and applying classifiers with Spark's ML library."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import MISSING
@@ -69,21 +67,6 @@ def minmax_score(df: DataFrame, decision: str, name: str = "probability_1") -> D
     return df.crossJoin(F.broadcast(ends)).withColumn(name, (F.col(decision) - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1e-9)).drop("__lo", "__hi")
 
 
-def save_model(model: PipelineModel, meta: dict, folder: str, name: str) -> str:
-    """One folder a model: Spark's pipeline and a row of metadata, both written by Spark, so any shared store will do."""
-    path = f"{folder.rstrip('/')}/{name}"
-    model.write().overwrite().save(f"{path}/pipeline")
-    spark = SparkSession.getActiveSession()
-    spark.createDataFrame([(name, json.dumps(meta))], "name string, meta string").coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
-    return path
-
-
-def load_models(spark: SparkSession, folder: str) -> dict[str, tuple[PipelineModel, dict]]:
-    """All models in a folder, by name in order."""
-    found = spark.read.schema("name string, meta string").json(f"{folder.rstrip('/')}/*/metadata").orderBy("name").collect()
-    return {r["name"]: (PipelineModel.load(f"{folder.rstrip('/')}/{r['name']}/pipeline"), json.loads(r["meta"])) for r in found}
-
-
 def feature_importance(df: DataFrame, model: PipelineModel, meta: dict, top_n: int = 10, normalize: bool = True) -> list[tuple[str, float]]:
     """The ``top_n`` model inputs by tree importance or size of coefficient, as percent of the sum over all inputs."""
     last = model.stages[-1]

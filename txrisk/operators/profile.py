@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from ..functions.labels import OUTLIERS, SKEW, VIF, label
 from ..sources.tables import MISSING, NULL_LABEL, OTHER
-from .ecdf import quantile_table
+from .ecdf import long_values, quantile_table, running_sums
 from .fitted import quantiles
+from .rank_corr import kendall
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -154,22 +155,23 @@ def category_rate(df: DataFrame, col: str, target: str, min_support: int = 30) -
 
 
 def mid_ranks(df: DataFrame, cols: list[str], key: str) -> DataFrame:
-    """``df`` as (key, column_name, rank): average ranks with ties, from the table of value counts; rows without a value have none."""
-    long = df.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in cols])).alias("p")).select(key, "p.*").where("value IS NOT NULL")
-    counts = long.groupBy("column_name", "value").count()
-    before = F.coalesce(F.sum("count").over(Window.partitionBy("column_name").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select("column_name", "value", (before + (F.col("count") + 1) / 2).alias("rank"))
-    return long.join(ranks, ["column_name", "value"]).select(key, "column_name", "rank")
+    """``df`` as (key, column_name, rank): average ranks with ties, from the running sums of value counts; rows without a value have none."""
+    long = long_values(df, cols, {key: F.col(key)})
+    counts = running_sums(long.groupBy("feature", "value").agg(F.count("*").alias("n")), ["n"], ["feature"], "value")
+    ranks = counts.select("feature", "value", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
+    return long.join(ranks, ["feature", "value"]).select(key, F.col("feature").alias("column_name"), "rank")
 
 
 def correlation_matrix(df: DataFrame, cols: list[str], method: str = "pearson", key: str | None = None) -> DataFrame:
     """(variable_1, variable_2, corr) for each pair of columns, over rows that have both, all pairs in one aggregate. ``spearman`` puts average
-    ranks of each column in place of its values; it needs a unique ``key``."""
+    ranks of each column in place of its values; it needs a unique ``key``. ``kendall`` is tau-b."""
+    if method == "kendall":
+        return kendall(df, cols)
     if method == "spearman":
         ranks = mid_ranks(df, cols, key)
         df = ranks.groupBy(key).pivot("column_name", cols).agg(F.max("rank"))
     elif method != "pearson":
-        raise ValueError("method must be pearson or spearman")
+        raise ValueError("method must be pearson, spearman or kendall")
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     both = lambda a, b: F.nanvl(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(None).cast("double"))
     one = df.agg(*[both(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])

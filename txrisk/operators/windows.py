@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..roles import Roles
 from .order import ordered
@@ -37,21 +38,23 @@ def velocity_grid(df: DataFrame, values: tuple[str, ...] = ("monto",), windows:
     as context: a busy entity is then dealt over many tasks, for twice the rows.
 
     A frame is read anew for each row, which is the square of the rows in a window. So entities with more than ``crowded`` rows in one stretch, if a count
-    finds any, get their sums, means, minima and maxima in time that grows with their rows (``_in_blocks``). Medians have no such way and cost the square there.
+    finds any, get their sums, means, minima and maxima in time that grows with their rows (``_in_blocks``), and their medians in little more (``_medians``).
     """
     wide = max(window_length(w) for w in windows)
     rows = df.withColumn("__t", F.unix_micros(F.col(roles.time).cast("timestamp")))
     known = F.col(roles.entity).isNotNull() & F.col("__t").isNotNull()
     busy = rows.where(known).groupBy(F.col(roles.entity).alias("__busy"), F.floor(F.col("__t") / wide).alias("__s")).count().where(F.col("count") > crowded).select("__busy").distinct()
-    if set(aggregates) <= {"median"} or busy.isEmpty():
+    if busy.isEmpty():
         return _in_frames(rows, values, windows, aggregates, roles, buckets).drop("__t")
     marked = rows.join(busy, known & (F.col(roles.entity) == F.col("__busy")), "left")
     quiet = _in_frames(marked.where("__busy IS NULL").drop("__busy"), values, windows, aggregates, roles, buckets)
     loud = marked.where("__busy IS NOT NULL").drop("__busy")
-    if "median" in aggregates:
-        loud = _in_frames(loud, values, windows, ("median",), roles, True)
+    plain = [x for x in aggregates if x != "median"]
     for w in windows:
-        loud = _in_blocks(loud, values, w, [x for x in aggregates if x != "median"], roles)
+        if plain:
+            loud = _in_blocks(loud, values, w, plain, roles)
+        if "median" in aggregates:
+            loud = _medians(loud, values, w, roles)
     return quiet.unionByName(loud).drop("__t")
 
 
@@ -100,6 +103,66 @@ def _in_blocks(rows: DataFrame, values, window: str, aggregates, roles: Roles) -
     return out.withColumns(made).drop("__copy", "__block", "__at", "__back", *halves)
 
 
+def range_medians(values, low, high):
+    """The median of ``values[low:high]`` for each pair of bounds, null values (NaN) left out; NaN for none. A wavelet matrix: the values' ranks are parted by one bit after the other,
+    and each range is followed down to its middle, all ranges at once, in time that grows with the rows and the logarithm of the distinct values."""
+    import numpy as np
+
+    known = ~np.isnan(values)
+    kept = np.concatenate([[0], np.cumsum(known)])
+    distinct, ranks = np.unique(values[known], return_inverse=True)
+    low, high = kept[low], kept[high]
+    n = high - low
+    if not len(distinct):
+        return np.full(len(n), np.nan)
+    levels, now = [], ranks.astype(np.int64)
+    for bit in range(int(len(distinct) - 1).bit_length() - 1, -1, -1):
+        one = (now >> bit) & 1
+        levels.append(np.concatenate([[0], np.cumsum(1 - one)]))
+        now = np.concatenate([now[one == 0], now[one == 1]])
+
+    def smallest(k):
+        a, b, at = low.copy(), high.copy(), np.zeros(len(k), dtype=np.int64)
+        for zeros in levels:
+            za, zb = zeros[a], zeros[b]
+            up = k >= zb - za
+            k = np.where(up, k - (zb - za), k)
+            a, b = np.where(up, zeros[-1] + a - za, za), np.where(up, zeros[-1] + b - zb, zb)
+            at = at * 2 + up
+        return distinct[np.minimum(at, len(distinct) - 1)]
+
+    middle = (smallest(np.maximum(n - 1, 0) // 2) + smallest(np.maximum(n, 1) // 2)) / 2
+    return np.where(n > 0, middle, np.nan)
+
+
+def _medians(rows: DataFrame, values, window: str, roles: Roles) -> DataFrame:
+    """The medians of one window length w, for rows with an entity and a time. As in ``_in_blocks`` time is cut into blocks as long as w, and a block gets the times and
+    values of the one before as well; a task holds these numbers of one block of an entity, and the rows themselves of the block. Other columns pass through as they are."""
+    w, columns = window_length(window), rows.columns
+    dealt = rows.select(F.col(roles.entity).alias("__entity"), "__t", *[F.col(v).cast("double").alias(f"__v{i}") for i, v in enumerate(values)], F.struct("*").alias("__row"), F.explode(F.array(F.lit(0), F.lit(1))).alias("__copy"))
+    dealt = dealt.withColumn("__block", F.floor(F.col("__t") / w) + F.col("__copy")).withColumn("__row", F.when(F.col("__copy") == 0, F.col("__row")))
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = table.take(pc.sort_indices(table, [("__t", "ascending")]))
+        own = pc.equal(table["__copy"], 0)
+        t = table["__t"].to_numpy()
+        at = t[own.to_numpy()]
+        low, high = np.searchsorted(t, at - w, "left"), np.searchsorted(t, at, "left")
+        out = {"__row": table["__row"].filter(own)}
+        for i in range(len(values)):
+            column = table[f"__v{i}"].to_numpy().astype(np.float64)  # null is NaN
+            out[f"__m{i}"] = pa.array(range_medians(column, low, high), pa.float64(), from_pandas=True)
+        return pa.table(out)
+
+    kind = T.StructType([dealt.schema["__row"], *[T.StructField(f"__m{i}", T.DoubleType()) for i in range(len(values))]])
+    made = dealt.groupBy("__entity", "__block").applyInArrow(run, kind)
+    return made.select(*[F.col("__row").getField(c).alias(c) for c in columns], *[F.col(f"__m{i}").alias(f"{v}_median_{window}") for i, v in enumerate(values)])
+
+
 def with_history(new: DataFrame, history: DataFrame, values: tuple[str, ...] = ("monto",), windows: tuple[str, ...] = tuple(WINDOWS), aggregates: tuple[str, ...] = AGGREGATES, roles: Roles = Roles()) -> DataFrame:
     """The grid for the rows of ``new``, whose frames also see the rows of ``history``. History older than the longest window before the
     first new row is pruned before the exchange."""

@@ -86,7 +86,10 @@ def make_stage(kind: str, cols: list[str] | str, name: str | None = None, params
     kind = ALIASES.get(kind, kind)
     if kind not in REGISTRY:
         raise ValueError(f"unknown step {kind!r}")
-    return REGISTRY[kind]([cols] if isinstance(cols, str) else list(cols), name, dict(params or {}))
+    cols, params = [cols] if isinstance(cols, str) else list(cols), dict(params or {})
+    stage = REGISTRY[kind](cols, name, params)
+    stage.recipe = {"type": kind, "cols": cols, "name": name, "params": params}
+    return stage
 
 
 @dataclass
@@ -101,9 +104,10 @@ class Preprocessor:
             s.fit(df)
         return self
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Rows not trained on: maps of all training rows, and the training rows as history."""
-        df = self._grids(df, lambda rows, s, *grid: windows.with_history(rows, s.history, *grid, s.roles))
+    def transform(self, df: DataFrame, windows_of: Callable | None = None) -> DataFrame:
+        """Rows not trained on: maps of all training rows, and the training rows as history. ``windows_of(rows, a stage, values, windows, aggregates)`` adds the
+        windows where ``df`` is a stream."""
+        df = self._grids(df, windows_of or (lambda rows, s, *grid: windows.with_history(rows, s.history, *grid, s.roles)))
         for s in self.stages:
             if not isinstance(s, VelocityStage):
                 df = s.transform(df)

@@ -66,6 +66,11 @@ CORR = ["monto", "b", "d", "m", "l"]
 _corr = lambda a, b: f"SELECT '{a}' AS variable_1, '{b}' AS variable_2, corr({a}, {b}) AS r FROM tx"
 add("a11_correlation_matrix", lambda s, d: P.correlation_matrix(tx(s, d), CORR).select("variable_1", "variable_2", r6("corr")), tx_sql("SELECT variable_1, variable_2, round(r, 6) AS corr FROM (" + union(_corr(a, b) for a in CORR for b in CORR) + ")"))
 _MID = lambda c: f"SELECT k, '{c}' AS column_name, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS rank FROM tx WHERE {c} IS NOT NULL"
+_TAU = ["n", "monto", "score", "d"]
+_CON = "count(*) FILTER ((x.{0} - y.{0}) * (x.{1} - y.{1}) > 0)"
+_DIS = "count(*) FILTER ((x.{0} - y.{0}) * (x.{1} - y.{1}) < 0)"
+_FREE = "count(*) FILTER (x.{0} <> y.{0} AND x.{1} IS NOT NULL AND y.{1} IS NOT NULL)"
+add("a11_kendall", lambda s, d: P.correlation_matrix(tx(s, d), _TAU, "kendall").select("variable_1", "variable_2", r6("corr")), tx_sql(" UNION ALL ".join(f"SELECT '{a}' AS variable_1, '{b}' AS variable_2, " + ("1.0::DOUBLE" if a == b else f"(SELECT round(({_CON} - {_DIS}) / sqrt({_FREE}::DOUBLE * {_FREE.replace('{0}', '{2}').replace('{1}', '{0}').replace('{2}', '{1}')}::DOUBLE), 6) FROM tx x JOIN tx y ON x.k < y.k)".format(a, b)) + " AS corr" for a in _TAU for b in _TAU)))
 add("w11_mid_ranks", lambda s, d: P.mid_ranks(tx(s, d), ["score", "d"], "k"), tx_sql(union(_MID(c) for c in ("score", "d"))))
 add("a11_spearman", lambda s, d: P.correlation_matrix(tx(s, d), ["monto", "score", "d"], "spearman", "k").select("variable_1", "variable_2", r6("corr")), tx_sql("SELECT x.column_name AS variable_1, y.column_name AS variable_2, round(corr(x.rank, y.rank), 6) AS corr FROM r x JOIN r y USING (k) GROUP BY 1, 2", "r AS (" + union(_MID(c) for c in ("monto", "score", "d")) + ")"))
 add("a12_correlation_with_target", lambda s, d: P.correlation_with_target(tx(s, d), NUM, "fraude"), tx_sql(union(f"SELECT '{c}' AS column_name, round(corr({c}, fraude), 4) AS corr, round(abs(corr({c}, fraude)), 4) AS abs_corr FROM tx" for c in NUM)))

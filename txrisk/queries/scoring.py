@@ -10,6 +10,9 @@ from ..functions.scalar import decide
 from ..operators import evaluate as E
 from ..operators import modeling as M
 from ..operators.joins import top_k
+from ..plans import artifact
+from ..plans.pipeline import build_preprocessor
+from ..sources.scratch import scratch_dir
 from ..sources.tables import transactions as tx
 from ..sources.tables import transactions_of, tx_sql
 from ..streaming import jobs
@@ -75,19 +78,47 @@ def _scores(s, d):
     return out
 
 
-def _shared(s):
-    return (s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+#: What makes the inputs of the saved model: a step of every kind of fitted state.
+PLAN = {"steps": [
+    {"name": "log", "type": "log_feature", "cols": ["l"]}, {"name": "top", "type": "top_percentile_flag", "cols": ["monto"], "params": {"quantile": 0.9}}, {"name": "bins", "type": "quantile_bins_dropna", "cols": ["b"], "params": {"num_bins": 4}},
+    {"name": "freq", "type": "frequency_encoding", "cols": ["g"]}, {"name": "rare", "type": "rare_grouping", "cols": ["g"]}, {"name": "target", "type": "target_encoding_cv", "cols": ["g", "fraude"]}, {"name": "pca", "type": "pca", "cols": ["d", "m"], "params": {"scale": True}},
+    {"name": "sum", "type": "sum_window", "cols": ["monto"], "params": {"window": "1d"}}, {"name": "max", "type": "max_window", "cols": ["monto"], "params": {"window": "7d"}},
+]}
+MADE = ["log_l", "monto_top10_flag", "g_freq_encoded", "g_target_enc", "pca_1", "monto_sum_1d", "monto_max_7d", "score"]
+
+
+def fit_plan(train):
+    """A fitted preprocessor, and a classifier on its training features with metadata."""
+    plan = build_preprocessor(PLAN)
+    features = plan.fit_transform(train)
+    return plan, *M.train_classifier(features, "logistic", MADE, ["b_qbin_dropna", "g_grouped", "p"], "fraude")
+
+
+def _saved(s, d):
+    """What was fitted, and the same loaded from where it was saved."""
+    plan, model, meta = fit_plan(tx(s, d).where(f"fecha < {CUT}"))
+    folder = f"{scratch_dir(s)}/models-{uuid.uuid4().hex}"
+    artifact.save_model(model, meta, folder, "logistic", plan)
+    return artifact.Artifact("logistic", 0, plan, model, meta), artifact.load_models(s.newSession(), folder)["logistic"], folder
+
+
+def _save_load(s, d):
+    """Whether each later row has the same features and score before the model was saved and after another session loaded it."""
+    fitted, loaded, folder = _saved(s, d)
+    again = artifact.load_model(s, folder, "logistic")
+    new = tx(s, d).where(f"fecha >= {CUT}")
+    columns = [*MADE, "b_qbin_dropna", "g_grouped", "probability_1"]
+    row = lambda a, n: a.score(new).select("k", F.struct(*columns).alias(n))
+    same = F.forall(F.array(*[F.when(F.col(f"before.{c}").isNull(), F.col(f"after.{c}").isNull()).when(F.col(f"before.{c}") == F.col(f"after.{c}"), True).otherwise(F.abs(F.col(f"before.{c}").try_cast("double") - F.col(f"after.{c}").try_cast("double")) < 1e-9) for c in columns]), lambda x: x)
+    return row(fitted, "before").join(row(again, "after"), "k").select("k", same.alias("same"), F.lit(loaded.version).alias("version"))
 
 
 def _reload(s, d):
     """AUC of the later rows before the model is saved and after it is loaded again."""
-    model, meta = _fit(s, d, "logistic")
-    folder = f"{_shared(s)}/models-{uuid.uuid4().hex}"
-    M.save_model(model, meta, folder, "logistic")
-    again = M.load_models(s, folder)["logistic"]
+    fitted, _, folder = _saved(s, d)
     new = tx(s, d).where(f"fecha >= {CUT}")
-    auc = lambda m, n: E.pr_summary(E.pr_points(M.batch_score(new, *m), "fraude", "probability_1")).select(F.col("roc_auc").alias(n))
-    return auc((model, meta), "before").crossJoin(auc(again, "after")).select("before", "after", (F.col("before") == F.col("after")).alias("same"))  # one row each
+    auc = lambda a, n: E.pr_summary(E.pr_points(a.score(new), "fraude", "probability_1")).select(F.col("roc_auc").alias(n))
+    return auc(fitted, "before").crossJoin(auc(artifact.load_model(s, folder, "logistic"), "after")).select("before", "after", (F.abs(F.col("before") - F.col("after")) < 1e-9).alias("same"))  # one row each
 
 
 add("e10_train_classifiers", lambda s, d: E.evaluate_models(_scores(s, d), "fraude", "p", "monto"))
@@ -103,7 +134,7 @@ def _importance(s, d):
 add("e12_feature_importance", _importance)
 add("o3_top_importance", lambda s, d: top_k(_importance(s, d), "importance", 5, "feature"))
 add("e14_reproducibility", _reload)
-add("s5_save_load_model", _reload)
+add("s5_save_load_model", _save_load, tx_sql("SELECT k, true AS same, 1::BIGINT AS version FROM tx WHERE fecha >= TIMESTAMP '2024-01-21'"))
 
 # --- streams: the event file replayed -----------------------------------------------------------------------------------------------
 
@@ -122,18 +153,42 @@ def _is_folder(e, path):
 
 def _run(s, stream, mode="append"):
     """Run a stream over what is there, into a Parquet table in the shared folder."""
-    base = f"{_shared(s)}/stream-{uuid.uuid4().hex}"
+    base = f"{scratch_dir(s)}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/out")
     query.awaitTermination()
     return s.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def _with_state(s):
+    """A session whose streams keep their state where timers and lists need it; the caller's stays as it is."""
+    own = s.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return own
+
+
 def _st1(s, d):
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = _run(s, jobs.stream_velocity(_stream(s, d), windows=("1d", "7d")))
+    out = _run(s, jobs.stream_velocity(_stream(_with_state(s), d), windows=("1d", "7d")))
     return out.select("k", *[F.round(f"monto_{a}_{w}", 6).alias(f"monto_{a}_{w}") for w in ("1d", "7d") for a in ("sum", "max")])
 
 
+def _late(s, d):
+    """The same with rows that wait for late ones, by entity and day; the last hour's rows wait for a later one."""
+    out = _run(s, jobs.stream_velocity(_stream(_with_state(s), d), windows=("1d", "7d"), aggregates=("sum", "median"), watermark="1 hour", late=True, stretch="1d"))
+    return out.select("k", *[F.round(f"monto_{a}_{w}", 6).alias(f"monto_{a}_{w}") for w in ("1d", "7d") for a in ("sum", "median")])
+
+
+def _stream_score(s, d):
+    """Whether each later row has the score in a stream that the batch gives it."""
+    fitted, _, folder = _saved(s, d)
+    own = _with_state(s)
+    streamed = _run(s, jobs.stream_scores(_stream(own, d).where(f"fecha >= {CUT}"), artifact.load_model(own, folder, "logistic")).select("k", F.col("probability_1").alias("streamed")))
+    batch = fitted.score(tx(s, d).where(f"fecha >= {CUT}")).select("k", "probability_1")
+    return streamed.join(batch, "k").select("k", (F.abs(F.col("streamed") - F.col("probability_1")) < 1e-9).alias("same"))
+
+
 add("st1_stream_velocity", _st1, tx_sql("SELECT k, " + ", ".join(f"round({a}(monto) OVER (PARTITION BY j ORDER BY fecha RANGE BETWEEN INTERVAL '{h} hours' PRECEDING AND INTERVAL '1 microsecond' PRECEDING), 6) AS monto_{a}_{w}" for w, h in (("1d", 24), ("7d", 168)) for a in ("sum", "max")) + " FROM tx"))
+_frame = lambda h: f"OVER (PARTITION BY j ORDER BY fecha RANGE BETWEEN INTERVAL '{h} hours' PRECEDING AND INTERVAL '1 microsecond' PRECEDING)"
+add("st1_stream_late_rows", _late, tx_sql("SELECT * FROM (SELECT k, " + ", ".join(f"round({a}(monto) {_frame(h)}, 6) AS monto_{a}_{w}" for w, h in (("1d", 24), ("7d", 168)) for a in ("sum", "median")) + " FROM tx) WHERE k IN (SELECT k FROM tx WHERE fecha <= (SELECT date_trunc('millisecond', max(fecha)) - INTERVAL 1 HOUR FROM tx))"))
+add("st1_stream_score", _stream_score, tx_sql("SELECT k, true AS same FROM tx WHERE fecha >= TIMESTAMP '2024-01-21'"))
 # the last day stays open: no later row moves the watermark past its end
 add("st2_stream_kpis", lambda s, d: _run(s, jobs.period_kpis(_stream(s, d), "fecha", "fraude", "monto")).select(text("start", "start_ts"), "n_total", "n_pos", F.round("amount_neg", 2).alias("amount_neg"), F.round("amount_pos", 2).alias("amount_pos")), tx_sql("SELECT strftime(date_trunc('day', fecha), '%Y-%m-%d %H:%M:%S.%f') AS start_ts, count(*) AS n_total, sum(fraude)::BIGINT AS n_pos, round(sum(monto) FILTER (fraude = 0), 2) AS amount_neg, round(sum(monto) FILTER (fraude = 1), 2) AS amount_pos FROM tx GROUP BY date_trunc('day', fecha) HAVING date_trunc('day', fecha) + INTERVAL 1 DAY <= (SELECT max(fecha) - INTERVAL 1 HOUR FROM tx)"))

@@ -1,4 +1,4 @@
-"""Streams of transactions: causal windows with state per entity, and figures by day."""
+"""Streams of transactions: causal windows with state per entity, scores, and figures by day."""
 
 from __future__ import annotations
 
@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from ..operators.modeling import batch_score
 from ..operators.windows import window_length
+from ..plans.artifact import Artifact
+from ..plans.pipeline import VelocityStage
 from ..roles import Roles
 
 
@@ -21,18 +24,14 @@ def period_kpis(stream: DataFrame, time: str, target: str, amount: str, period:
     return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n_total", "n_pos", "amount_neg", "amount_pos")
 
 
-def velocity_schema(roles: Roles, value: str, windows: tuple[str, ...], key_type: str = "long") -> str:
-    grid = ", ".join(f"{value}_{a}_{w} double" for w in windows for a in ("sum", "mean", "max", "min"))
-    return f"{roles.key} {key_type}, {roles.entity} string, {roles.time} timestamp, {value} double, {grid}"
-
-
-def rolling(times: list[int], values: list[float], at: list[int], length: int) -> dict[str, list]:
-    """Sum, mean, max and min of ``values`` over [t - length, t) for each t of ``at``; ``times`` and ``at`` ascend. Each value enters and leaves once."""
+def rolling(times: list[int], values: list[float], at: list[int], length: int, aggregates: tuple[str, ...] = ("sum", "mean", "max", "min")) -> dict[str, list]:
+    """Aggregates of ``values`` over [t - length, t) for each t of ``at``; ``times`` and ``at`` ascend. Each value enters and leaves once."""
+    from bisect import bisect_left, insort
     from collections import deque
 
-    out: dict[str, list] = {"sum": [], "mean": [], "max": [], "min": []}
+    out: dict[str, list] = {a: [] for a in aggregates}
     low = high = n = 0
-    total, top, least = 0.0, deque(), deque()
+    total, top, least, ranked, ranks = 0.0, deque(), deque(), [], "median" in aggregates
     for t in at:
         while high < len(times) and times[high] < t:
             if (v := values[high]) is not None and v == v:
@@ -43,81 +42,158 @@ def rolling(times: list[int], values: list[float], at: list[int], length: int) -
                     least.pop()
                 top.append(high)
                 least.append(high)
+                if ranks:
+                    insort(ranked, v)
             high += 1
         while low < high and times[low] < t - length:
             if (v := values[low]) is not None and v == v:
                 total, n = total - v, n - 1
+                if ranks:
+                    del ranked[bisect_left(ranked, v)]
             low += 1
         for q in (top, least):
             while q and q[0] < low:
                 q.popleft()
         if not n:
             total = 0.0
-        for name, x in (("sum", total), ("mean", total / n if n else None), ("max", values[top[0]] if top else None), ("min", values[least[0]] if least else None)):
-            out[name].append(x if n else None)
+        now = {"sum": total, "mean": total / n if n else None, "max": values[top[0]] if top else None, "min": values[least[0]] if least else None}
+        if ranks:
+            now["median"] = (ranked[(n - 1) // 2] + ranked[n // 2]) / 2 if n else None
+        for name in out:
+            out[name].append(now[name] if n else None)
     return out
 
 
 class _Velocity(StatefulProcessor):
-    """Keeps an entity's rows of the longest window; a batch's rows are worked through in time order. A row sees those of [t - w, t).
-    With a watermark, an entity that has been idle for the longest window is forgotten."""
+    """The windows of the rows of one entity in one stretch of time. ``seen`` holds the times and values that they can reach, ``waiting`` the rows that the watermark
+    hasn't passed yet. Where rows don't wait there is one stretch, they are answered in the batch that brings them, and an entity that is idle for the longest
+    window leaves the state if it ``forgets``."""
 
-    def __init__(self, roles: Roles, value: str, windows: tuple[str, ...], forgets: bool = False):
-        self.roles, self.value, self.windows, self.forgets = roles, value, windows, forgets
+    def __init__(self, values: tuple[str, ...], windows: tuple[str, ...], aggregates: tuple[str, ...], stretch: int | None, forgets: bool):
+        self.values, self.aggregates, self.stretch, self.forgets = values, aggregates, stretch, forgets
         self.lengths = {w: window_length(w) for w in windows}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "t long, v double")
+        self.seen = handle.getListState("seen", "t long, " + ", ".join(f"v{i} double" for i in range(len(self.values))))
+        self.waiting = handle.getListState("waiting", "t long, row string")
 
-    def _times(self, rows) -> list[int]:
-        return rows[self.roles.time].astype("datetime64[us]").astype("int64").tolist()
+    def _take(self, frames) -> list[tuple[int, str]]:
+        """Remember the times and values of new rows; the rows among them that are to be answered."""
+        import pandas as pd
 
-    def _keep(self, times: list[int], values: list[float]) -> None:
-        import bisect
+        new = pd.concat(list(frames))
+        times = new["t_us"].tolist()
+        self.seen.appendList([(t, *(None if v != v else v for v in vs)) for t, *vs in zip(times, *[new[f"v_{i}"].tolist() for i in range(len(self.values))])])
+        return [(t, r) for t, r in zip(times, new["t_row"].tolist()) if r is not None]
+
+    def _answer(self, rows: list[tuple[int, str]]):
+        import pandas as pd
 
-        first = bisect.bisect_left(times, times[-1] - max(self.lengths.values())) if times else 0
-        self.rows.put([(t, v) for t, v in zip(times[first:], values[first:])])
-        if self.forgets and times:
+        seen = sorted(self.seen.get(), key=lambda r: r[0])
+        times, rows = [r[0] for r in seen], sorted(rows, key=lambda r: r[0])
+        out = {"__row": [r[1] for r in rows]}
+        for i, v in enumerate(self.values):
+            column = [r[i + 1] for r in seen]
+            for w, length in self.lengths.items():
+                for name, x in rolling(times, column, [r[0] for r in rows], length, self.aggregates).items():
+                    out[f"{v}_{name}_{w}"] = x
+        if self.stretch is None and seen:  # what no later row can reach
+            wide = max(self.lengths.values())
+            self.seen.put([r for r in seen if r[0] >= times[-1] - wide])
+            self._wake(times[-1] + wide + 1)
+        return pd.DataFrame(out)
+
+    def _wake(self, due: int) -> None:
+        """One timer, when the watermark has come to ``due``."""
+        if self.forgets or self.stretch is not None:
             for t in self.handle.listTimers():
                 self.handle.deleteTimer(t)
-            self.handle.registerTimer((times[-1] + max(self.lengths.values())) // 1000 + 1)
+            self.handle.registerTimer(-(-due // 1000))
+
+    def _over(self, key) -> int:
+        return (key[-1] + 1) * self.stretch
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        known = initialState.dropna(subset=[self.roles.time]).sort_values(self.roles.time, kind="stable")
-        self._keep(self._times(known), known[self.value].tolist())
+        self._take([initialState])
+        self._wake(max(initialState["t_us"].tolist()) + max(self.lengths.values()) + 1 if self.stretch is None else self._over(key))
 
     def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-
-        new = pd.concat(list(rows)).sort_values(self.roles.time, kind="stable")
-        micros = self._times(new)
-        # rows of this batch count for each other whatever their order of arrival
-        both = sorted([*(self.rows.get() if self.rows.exists() else []), *zip(micros, new[self.value].tolist())], key=lambda r: r[0])
-        times, values = [r[0] for r in both], [r[1] for r in both]
-        out = {c: new[c].tolist() for c in (self.roles.key, self.roles.entity, self.roles.time, self.value)}
-        for w, length in self.lengths.items():
-            for name, x in rolling(times, values, micros, length).items():
-                out[f"{self.value}_{name}_{w}"] = x
-        self._keep(times, values)
-        yield pd.DataFrame(out)
+        mine = self._take(rows)
+        if self.stretch is None:
+            yield self._answer(mine)
+            return
+        if mine:
+            self.waiting.appendList(mine)
+        self._wake(min((r[0] for r in self.waiting.get()), default=self._over(key)) if self.waiting.exists() else self._over(key))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.rows.clear()
-        return iter([])
+        if self.stretch is None:
+            self.seen.clear()
+            return
+        now = timerValues.getCurrentWatermarkInMs() * 1000  # every row up to here has come
+        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        due, left = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
+        if due:
+            yield self._answer(due)
+        self.waiting.clear()
+        if left:
+            self.waiting.put(left)
+        if not left and now >= self._over(key):
+            self.seen.clear()
+        else:
+            self._wake(min((r[0] for r in left), default=self._over(key)))
 
     def close(self) -> None:
         pass
 
 
-def stream_velocity(stream: DataFrame, value: str = "monto", windows: tuple[str, ...] = ("1h", "1d"), roles: Roles = Roles(), key_type: str = "long", history: DataFrame | None = None, watermark: str | None = None) -> DataFrame:
-    """The causal sum, mean, max and min of each window for the rows of a stream, which come in event-time order from batch to batch. State is the
-    last ``max(window)`` of each entity; ``history``, a table with entity, time and value, is what it begins with. With ``watermark`` (such as "1 hour") rows
-    later than that are left out, and entities idle for the longest window leave the state. Rows without entity or time are left out. Append mode."""
-    known = lambda df: df.where(F.col(roles.entity).isNotNull() & F.col(roles.time).isNotNull())
-    rows = known(stream.select(roles.key, roles.entity, roles.time, F.col(value).cast("double").alias(value)))
-    if watermark:
-        rows = rows.withWatermark(roles.time, watermark)
-    first = None if history is None else known(history.select(roles.entity, F.col(roles.time).cast("timestamp").alias(roles.time), F.col(value).cast("double").alias(value))).groupBy(roles.entity)
-    processor, kind = _Velocity(roles, value, windows, bool(watermark)), StructType.fromDDL(velocity_schema(roles, value, windows, key_type))
-    return rows.groupBy(roles.entity).transformWithStateInPandas(statefulProcessor=processor, outputStructType=kind, outputMode="Append", timeMode="EventTime" if watermark else "None", initialState=first)
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def stream_velocity(stream: DataFrame, values: tuple[str, ...] = ("monto",), windows: tuple[str, ...] = ("1h", "1d"), aggregates: tuple[str, ...] = ("sum", "mean", "max", "min"), roles: Roles = Roles(), history: DataFrame | None = None, watermark: str | None = None, late: bool = False, stretch: str | None = None) -> DataFrame:
+    """The rows of a stream with ``{value}_{aggregate}_{window}``: the same causal grid as ``velocity_grid``, append mode. ``history``, a table with entity, time and values, is what
+    the first rows see. Rows without entity or time are left out.
+
+    Unless ``late``, rows come in event-time order from batch to batch and are answered at once; the state of an entity is the longest window, in one place. With ``watermark``
+    (such as "1 hour") rows later than that are left out, and entities idle for the longest window leave the state.
+
+    With ``late`` rows may come in any order up to ``watermark`` late. A row waits in the state until the watermark has passed its time, when all that its windows see has come,
+    and is then answered; rows later than that are left out, and the last rows of a stream wait for a later one. State is kept by entity and ``stretch`` of time (a
+    window's name, by default the longest of ``windows``): a row goes to its own stretch, and its time and values to the following ones whose windows reach it. So a busy entity is
+    dealt over as many tasks as the rows of a batch have stretches, and state goes when its stretch is over. Shorter stretches spread an entity more and copy values more
+    often, once for each stretch in the longest window."""
+    if late and not watermark:
+        raise ValueError("late rows need a watermark that says how late they may be")
+    wide = max(window_length(w) for w in windows)
+    lengths = (window_length(stretch) if stretch else wide) if late else None
+    own = F.floor(F.col("t_us") / lengths) if lengths else F.lit(0).cast("long")
+    last = F.floor((F.col("t_us") + wide) / lengths) if lengths else own
+
+    def dealt(df: DataFrame, row) -> DataFrame:  # a processor's columns have plain names
+        at = F.unix_micros(F.col(roles.time).cast("timestamp"))
+        df = df.where(F.col(roles.entity).isNotNull() & F.col(roles.time).isNotNull())
+        df = df.select(F.col(roles.time).alias("event_time"), F.col(roles.entity).alias("entity"), at.alias("t_us"), row.alias("row"), *[F.col(v).cast("double").alias(f"v_{i}") for i, v in enumerate(values)])
+        df = df.withColumn("stretch", F.explode(F.sequence(own, last)))
+        return df.withColumn("t_row", F.when(F.col("stretch") == own, F.col("row"))).drop("row")
+
+    rows = dealt(stream.withWatermark(roles.time, watermark) if watermark else stream, F.to_json(F.struct("*"), _TIMES)).groupBy("entity", "stretch")
+    first = None if history is None else dealt(history, F.lit(None).cast("string")).drop("event_time").groupBy("entity", "stretch")
+    names = [f"{v}_{a}_{w}" for v in values for w in windows for a in aggregates]
+    kind = StructType.fromDDL(", ".join(["__row string", *[f"`{n}` double" for n in names]]))
+    out = rows.transformWithStateInPandas(statefulProcessor=_Velocity(values, windows, aggregates, lengths, bool(watermark)), outputStructType=kind, outputMode="Append", timeMode="EventTime" if watermark else "None", initialState=first)
+    return out.withColumn("__row", F.from_json("__row", stream.schema, _TIMES)).select("__row.*", *names)
+
+
+def stream_scores(stream: DataFrame, artifact: Artifact, name: str = "probability_1", watermark: str | None = None, late: bool = False, stretch: str | None = None) -> DataFrame:
+    """The features and the probability of class 1 of the rows of a stream, by a loaded artefact: windows with state that begins with its history, its frozen maps, its
+    classifier. What a row gets is what ``artifact.score`` gives it in a table with all rows before it; see ``stream_velocity`` for late rows."""
+    grids = [s for s in artifact.preprocessor.stages if isinstance(s, VelocityStage)]
+    if len({s.roles for s in grids}) > 1:
+        raise ValueError("the windows of a stream must have one entity and one time")
+
+    def windows_of(rows, stage, values, windows, aggregates):
+        return stream_velocity(rows, values, windows, aggregates, stage.roles, stage.history, watermark, late, stretch)
+
+    features = artifact.preprocessor.transform(artifact.checked(stream), windows_of)
+    return batch_score(features, artifact.model, artifact.meta, name)

@@ -353,8 +353,8 @@ def test_exact_dedup_of_many_equal_rows(spark):
     assert (out["n"], out["kept"], out["size"]) == (50_000, 1, 50_000) and time.time() - began < 60
 
 
-def test_only_impossible_pairs_are_ruled_out(spark):
-    """The maps of shingles never rule out a pair of 0.8 or more, and most that are far below."""
+def test_kept_hashes_decide_as_all_shingles_do(spark):
+    """Pairs are linked exactly where all their shingles say so, short lines and long ones."""
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghij\U0001f600é") for _ in range(rng.randint(2, 7)))
     rows = []
@@ -364,7 +364,5 @@ def test_only_impossible_pairs_are_ruled_out(spark):
         rows.append((2 * i, " ".join(a), 2 * i + 1, " ".join(b)))
     texts = spark.createDataFrame([x for a, s, b, t in rows for x in ((a, s), (b, t))], "id long, line string")
     pairs = spark.createDataFrame([(a, b) for a, _, b, _ in rows], "a long, b long")
-    left = {r["a"] for r in line_dedup.possible(pairs, line_dedup._maps(texts)).collect()}
-    near = {a: jaccard(s, t) for a, s, _, t in rows}
-    assert all(a in left for a, x in near.items() if x >= line_dedup.SIMILARITY)
-    assert sum(a in left for a, x in near.items() if x < 0.5) < 0.1 * sum(x < 0.5 for x in near.values())
+    found = {r["src"] for r in line_dedup.linked(pairs, line_dedup.kept_hashes(texts), texts).collect()}
+    assert found == {a for a, s, _, t in rows if jaccard(s, t) >= line_dedup.SIMILARITY} and any(len(s) > 2 * line_dedup.KEPT for _, s, _, _ in rows)

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.order import ordered
 from .common import materialize
@@ -56,8 +57,7 @@ def weights(docs: DataFrame, gains: list[int], ngrams: tuple[int, int] = (1, 1),
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *[pa.array(x, pa.int64()) for x in (counter.words, counter.features, weight)]], ["doc", "n_words", "n_features", "weight"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), "text")
-    kind = f"doc {rows.schema['doc'].dataType.simpleString()}, n_words long, n_features long, weight long"
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *[T.StructField(c, T.LongType()) for c in ("n_words", "n_features", "weight")]]))
 
 
 def noise(key: Column, seed: int) -> Column:

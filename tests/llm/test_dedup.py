@@ -365,4 +365,33 @@ def test_kept_hashes_decide_as_all_shingles_do(spark):
     texts = spark.createDataFrame([x for a, s, b, t in rows for x in ((a, s), (b, t))], "id long, line string")
     pairs = spark.createDataFrame([(a, b) for a, _, b, _ in rows], "a long, b long")
     found = {r["src"] for r in line_dedup.linked(pairs, line_dedup.kept_hashes(texts), texts).collect()}
-    assert found == {a for a, s, _, t in rows if jaccard(s, t) >= line_dedup.SIMILARITY} and any(len(s) > 2 * line_dedup.KEPT for _, s, _, _ in rows)
+    assert found == {a for a, s, _, t in rows if jaccard(s, t) >= line_dedup.SIMILARITY} and any(len(t) > 2 * line_dedup.KEPT for *_, t in rows)
+
+
+def test_files_listed_twice(spark, tmp_path):
+    """Rows of a file that a scan lists twice are rows of their own for every operator that knows rows by ids."""
+    from txrisk.llm import mixing
+    from txrisk.llm.common import with_row_id
+
+    path = str(tmp_path / "docs" / "part")
+    rows = [(1, "one line of some words that stays here\nand another line of other words", "en", "s1"), (2, "a text of its own with words enough", "en", "s1")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(path)
+    twice = spark.read.parquet(path, path)
+    assert twice.count() == 4 and with_row_id(twice, "id").select("id").distinct().count() == 4
+    assert line_dedup.dedup(twice).count() == 2 and simhash.keep_one(twice).count() == 2
+    assert exact_dedup.exact_dedup(twice).where("kept").count() == 2
+    assert mixing.mix_documents(twice, max_epochs=1).count() == 4
+    nested = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "docs"), path)
+    assert with_row_id(nested, "id").select("id").distinct().count() == nested.count()
+    assert with_row_id(spark.read.parquet(path), "id").select("id").distinct().count() == 2
+
+
+def test_huge_texts_are_hashed_by_chunks(spark, monkeypatch):
+    """Chunks of a text hashed in tasks of their own combine to the fingerprint of the whole."""
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("abcDEFé ") for _ in range(n))) for i, n in enumerate((0, 1, 300, 3000, 9001))] + [(9, None)]
+    docs = spark.createDataFrame(rows + [(r[0] + 20, r[1]) for r in rows], "doc_id long, text string")
+    key = lambda r: r["doc_id"]
+    want = sorted(exact_dedup.exact_dedup(docs).collect(), key=key)
+    monkeypatch.setattr(exact_dedup, "CHUNK", 256)
+    assert sorted(exact_dedup.exact_dedup(docs).collect(), key=key) == want

@@ -255,3 +255,28 @@ def test_dropout_against_merging_one_by_one(path, spark, small):
     names = [f"doc {i}" for i in range(len(texts))]
     for t, n, blob in zip(texts, names, pieces.Encoder(path, 0.1, 7).encode(texts, names)):
         assert ids_of(blob) == merged_one_by_one(own, t, n, 0.1, 7), t[:60]
+
+
+def test_models_that_break_the_assumptions_are_refused(monkeypatch):
+    """A piece over two words, or more pieces than two bytes tell apart, is an error, not wrong ids."""
+    import sentencepiece
+
+    class Fake:
+        def __init__(self, pieces, n=None):
+            self.all, self.n = pieces, n or len(pieces)
+
+        def __call__(self, model_file):
+            return self
+
+        get_piece_size = lambda self: self.n
+        id_to_piece = lambda self, i: self.all[i % len(self.all)]
+        piece_to_id = lambda self, p: 0
+        is_control = is_unknown = is_byte = lambda self, i: False
+        get_score = lambda self, i: 0.0
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Fake(["a", "▁a▁b"]))
+    with pytest.raises(ValueError, match="two words"):
+        pieces.Model("x")
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Fake(["a"], 70_000))
+    with pytest.raises(ValueError, match="two bytes"):
+        pieces.Model("x")

@@ -15,11 +15,15 @@ WORD_BYTES = rb"[^\x20\x09-\x0D]+"
 
 
 def _rows_of_files(docs: DataFrame) -> bool:
-    """Whether each row of ``docs`` is a row of a file of its own: a scan, with nothing above it but columns and deterministic conditions."""
+    """Whether each row of ``docs`` is a row of a file of its own: a scan that lists no path twice or inside another, with nothing above it but columns and deterministic conditions."""
     node = docs._jdf.queryExecution().analyzed()
     while node.nodeName() in ("Project", "Filter", "SubqueryAlias") and node.deterministic():
         node = node.children().apply(0)
-    return node.nodeName() == "LogicalRelation"
+    if node.nodeName() != "LogicalRelation":
+        return False
+    roots = node.relation().location().rootPaths()
+    paths = sorted(roots.apply(i).toString().rstrip("/") + "/" for i in range(roots.size()))
+    return not any(b.startswith(a) for a, b in zip(paths, paths[1:]))
 
 
 def with_row_id(docs: DataFrame, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, with_row_id
+from .common import materialize, release, with_row_id
 
 FANOUT = 16
 #: Equal records are dealt to so many parts before each gets its place among them.
@@ -99,7 +99,9 @@ def audit(good: DataFrame, copy: DataFrame, fanout: int = FANOUT) -> DataFrame:
         up = found.select(F.col("file").alias("f"), F.col("node").alias("n"))
         file, node = parent_of(k, heights, fanout)
         under = lambda x: x.join(up, file.eqNullSafe(F.col("f")) & (node == F.col("n")), "left_semi")  # noqa: B023, E731
-        found = materialize(differing(under(ours[k]), under(theirs[k])), "merkle-diff")
+        before, found = found, materialize(differing(under(ours[k]), under(theirs[k])), "merkle-diff")
+        release(before)
+    release(*ours, *theirs)
     status = F.when(F.col("copy_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("corrupt")
     return found.select("file", F.col("node").alias("seq"), F.col("start").alias("offset"), (F.col("end") - F.col("start")).alias("length"), "digest", "copy_digest", status.alias("status"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .features import gram_features
 
 SIZES, WIDTH = (1, 2, 3), 4096
+#: Texts whose features a task holds at a time.
+STEP = 500
 UNKNOWN = "und"
 
 
@@ -126,8 +128,8 @@ def predict(docs: DataFrame, model) -> DataFrame:
             can = np.array([model is not None and t is not None and letter.search(t) is not None for t in texts], dtype=bool)
             pred, score, unsure = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
             where = np.flatnonzero(can)
-            for at in range(0, len(where), 200):
-                part = where[at : at + 500]
+            for at in range(0, len(where), STEP):
+                part = where[at : at + STEP]
                 languages, code, w, b, trust = model
                 best, share, doubt = decode(np.array([text_features(texts[i]) for i in part]) @ w + b, code, trust)
                 for i, k in zip(part, best):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, with_row_id, words_of
+from .common import materialize, release, with_row_id, words_of
 
 LEAF = ["domain", "lang", "source"]
 #: Coarse steps of an epoch's order: a leaf's documents fall into 2^BUCKET_BITS buckets of their 60-bit order key.
@@ -66,7 +66,9 @@ def mix(docs: DataFrame, domain: Column, weights, budget: Column, max_epochs: in
     keyed = docs.select("doc_id", name(domain).alias("domain"), name(F.col("lang")).alias("lang"), name(F.col("source")).alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("n_tokens"), (F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()).alias("__row"))
     rows = materialize(keyed, "mix-rows")
     leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens")).withColumns(weights)
-    leaves = materialize(leaf_budgets(materialize(leaves, "mix-leaves"), budget, max_epochs), "mix-budgets")
+    counted = materialize(leaves, "mix-leaves")
+    leaves = materialize(leaf_budgets(counted, budget, max_epochs), "mix-budgets")
+    release(counted)
     plan = leaves.withColumn("whole", F.floor(F.col("leaf_budget") / F.col("tokens")).cast("int")).withColumn("rest", F.col("leaf_budget") - F.col("whole") * F.col("tokens")).select(*LEAF, "whole", "rest")
     planned = rows.join(plan, LEAF)
     full = planned.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)))

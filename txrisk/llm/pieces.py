@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: A chunk is a run of spaces and what follows up to the next space. No piece of the model spans two chunks.
+#: A chunk is a run of spaces and what follows up to the next space. No piece of a model may span two chunks.
 CHUNK = re.compile(" *[^ ]+| +")
 #: Chunks of up to so many symbols are merged in step with others; longer ones by an agenda of their own.
 IN_STEP = 48
@@ -33,8 +33,12 @@ class Model:
         n = m.get_piece_size()
         self.pieces = [m.id_to_piece(i) for i in range(n)]
         self.byte_ids = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        if n > 1 << 16:
+            raise ValueError(f"{path} has {n} pieces; ids of two bytes tell {1 << 16} apart")
         special = [m.is_control(i) or m.is_unknown(i) or m.is_byte(i) for i in range(n)]
         self.ids = {p: i for i, p in enumerate(self.pieces) if not special[i]}
+        if wide := next((p for p in self.ids if SPACE in p.lstrip(SPACE)), None):
+            raise ValueError(f"piece {wide!r} of {path} spans two words; chunks between spaces can't be merged by themselves")
         # Characters inside pieces that are no pieces by themselves take part in merges under ids past the vocabulary.
         self.symbols = dict(self.ids)
         for p in self.ids:

@@ -113,7 +113,7 @@ def _exp(x: float) -> float:
 
 def continuous_battery(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     """All tests of the continuous features, one row each, the best AUC first."""
-    ecdf = value_ecdf(df, cols, target).persist()
+    ecdf = value_ecdf(df, cols, target).persist()  # read by every step of the logits, and once more when the result is
     s = continuous_statistics(ecdf).join(logit_wald(ecdf), "feature", "left")
     s = s.withColumn("mannwhitney_p_value", _p(special.rank_sum_two_sided, *[F.col(c) for c in ("mannwhitney_stat", "n0", "n1", "mannwhitney_z", "ties")])).withColumn("ks_p_value", _p(special.distance_sf, F.col("ks_stat"), F.col("n0"), F.col("n1"))).withColumn("point_biserial_p_value", _p(special.t_two_sided, F.col("point_biserial_t"), F.col("n0") + F.col("n1") - 2))
     columns = ["mannwhitney_stat", "mannwhitney_p_value", "ks_stat", "ks_p_value", "point_biserial_corr", "point_biserial_p_value", "auc", "auc_abs", "auc_interpretation", "cohens_d", "cohens_d_interpretation", "logit_beta", "logit_odds_ratio", "logit_p_value", "logit_separation_detected"]
@@ -212,6 +212,10 @@ CONTINUOUS, CATEGORICAL = "continua", "categórica"
 TESTS = {CONTINUOUS: "Continua (Mann-Whitney, KS, punto-biserial, AUC, Cohen's d, Wald)", CATEGORICAL: "Categórica (Chi², V de Cramér, IV/WoE, AUC-WoE, LR test)"}
 POWER = {"casi aleatorio": "casi aleatoria", "separación débil": "débil", "separación moderada": "moderada", "separación fuerte": "fuerte"}
 ENDINGS = {"_missing": "Missing indicator (flag de nulo)", "_is_zero": "Zero flag (flag de valor cero)", "_log": "Transformación logarítmica (log1p)", "_top1pct": "Percentile flag (top 1%)", "_bin": "Bins por cuantiles (5 bins)", "_grouped": "Agrupación de categorías raras (rare grouping)", "_freq_enc": "Frequency encoding", "_target_enc": "Target encoding con validación cruzada"}
+SPECIAL = {
+    "pca_dm_1": "PCA (1 componente) sobre d y m", "ratio_monto_l": "Ratio monto / l", "fecha_hour": "Extracción de hora del día", "fecha_weekday": "Extracción de día de la semana",
+    "fecha_is_weekend": "Extracción de indicador de fin de semana", "fecha_hour_sin": "Codificación cíclica de hora (seno)", "fecha_hour_cos": "Codificación cíclica de hora (coseno)",
+}
 ORIGINAL, UNKNOWN = "Variable original (sin transformar)", "Transformación no clasificada"
 
 
@@ -225,9 +229,9 @@ def feature_ranking(continuous: DataFrame, categorical: DataFrame) -> DataFrame:
 
 
 def feature_summary(ranking: DataFrame, originals: tuple[str, ...] = (), described: dict[str, str] | None = None) -> DataFrame:
-    """The ranking in words: what was done to the feature, what it was tested by, and what came out."""
+    """The ranking in words: what was done to the feature, what it was tested by, and what came out. ``described`` has words for features by name, beside SPECIAL."""
     done = F.when(F.col("variable").isin(*originals), ORIGINAL) if originals else F.when(F.lit(False), ORIGINAL)
-    for name, words in (described or {}).items():
+    for name, words in (SPECIAL | (described or {})).items():
         done = done.when(F.col("variable") == name, words)
     for ending, words in ENDINGS.items():
         done = done.when(F.col("variable").endswith(ending), words)

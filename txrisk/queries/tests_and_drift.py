@@ -65,6 +65,19 @@ add("t14_categorical_battery", lambda s, d: batteries(s, d)[1])
 ranking = lambda s, d: A.feature_ranking(*batteries(s, d))
 add("t15_feature_ranking", ranking)
 add("t16_feature_summary", lambda s, d: A.feature_summary(ranking(s, d), tuple(CONT + CATS)))
+
+
+def _made(s, d):
+    """Features of every kind that the summary has words for, beside some original ones."""
+    t = tx(s, d)
+    made = {"ratio_monto_l": S.ratio("monto", "l"), "fecha_hour": S.hour("fecha"), "fecha_weekday": S.weekday("fecha"), "fecha_is_weekend": S.is_weekend("fecha"), "f_log": S.log_feature("f"), "b_missing": S.missing_flag("b"), "e_is_zero": S.zero_flag("e"), "other": F.col("score") * 2}
+    return A.feature_summary(A.feature_ranking(A.continuous_battery(t.withColumns(made), ["monto", *made], "fraude"), A.categorical_battery(t, ["o"], "fraude")), ("monto", "o")).select("variable", "transformacion_aplicada", "tipo_test_aplicado", F.round("auc_abs", 6).alias("auc_abs"))
+
+
+_MADE = {"monto": ("monto", A.ORIGINAL), "ratio_monto_l": ("CASE WHEN l = 0 THEN NULL ELSE monto / l END", "Ratio monto / l"), "fecha_hour": ("hour(fecha)", "Extracción de hora del día"), "fecha_weekday": ("(isodow(fecha) - 1)", "Extracción de día de la semana"), "fecha_is_weekend": ("(isodow(fecha) > 5)::INT", "Extracción de indicador de fin de semana"), "f_log": ("CASE WHEN f > -1 THEN ln(1 + f) END", "Transformación logarítmica (log1p)"), "b_missing": ("(b IS NULL)::INT", "Missing indicator (flag de nulo)"), "e_is_zero": ("coalesce(e = 0, false)::INT", "Zero flag (flag de valor cero)"), "other": ("score * 2", A.UNKNOWN)}
+_RANKED = "SELECT '{0}' AS variable, '{2}' AS transformacion_aplicada, '{3}' AS tipo_test_aplicado, (SELECT round(greatest(a, 1 - a), 6) FROM (SELECT sum(n1 * (c0 - n0 / 2)) / (sum(n0) * sum(n1)) AS a FROM (SELECT *, sum(n0) OVER (ORDER BY v) AS c0 FROM (SELECT {1} AS v, count(*) FILTER (fraude = 0) AS n0, count(*) FILTER (fraude = 1) AS n1 FROM tx WHERE {1} IS NOT NULL GROUP BY 1)))) AS auc_abs"
+_WOE_O = "(SELECT ln(((count(*) FILTER (x.fraude = 0) + 0.5) / ((SELECT count(*) FROM tx WHERE fraude = 0) + 1.5)) / ((count(*) FILTER (x.fraude = 1) + 0.5) / ((SELECT count(*) FROM tx WHERE fraude = 1) + 1.5))) FROM tx x WHERE x.o IS NOT DISTINCT FROM tx.o)"
+add("t16_transformations", _made, tx_sql(" UNION ALL ".join([_RANKED.format(n, e, w, A.TESTS[A.CONTINUOUS].replace("'", "''")) for n, (e, w) in _MADE.items()] + [_RANKED.format("o", _WOE_O, A.ORIGINAL, A.TESTS[A.CATEGORICAL])])))
 add("t17_logit_comparison", lambda s, d: A.logit_comparison(tx(s, d), ["monto", "d", "h"], "fraude", without=("d", "h")))
 add("p12_labels", lambda s, d: stats(s, d).select("feature", "auc_interpretation", "cohens_d_interpretation"), tx_sql(f"SELECT feature, {L.label_sql('greatest(u0 / (n0 * n1), 1 - u0 / (n0 * n1))', L.AUC)} AS auc_interpretation, {L.label_sql('abs(d)', L.COHEN_D)} AS cohens_d_interpretation FROM st", *ctes))
 

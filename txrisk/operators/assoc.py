@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import special
 from ..functions.labels import AUC, COHEN_D, CRAMERS_V, IV, label
+from ..sources.scratch import materialize
 from ..sources.tables import MISSING, OTHER
 from .ecdf import value_ecdf
 
@@ -113,7 +114,7 @@ def _exp(x: float) -> float:
 
 def continuous_battery(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     """All tests of the continuous features, one row each, the best AUC first."""
-    ecdf = value_ecdf(df, cols, target).persist()  # read by every step of the logits, and once more when the result is
+    ecdf = materialize(value_ecdf(df, cols, target), "value-counts")  # read by every step of the logits, and once more when the result is
     s = continuous_statistics(ecdf).join(logit_wald(ecdf), "feature", "left")
     s = s.withColumn("mannwhitney_p_value", _p(special.rank_sum_two_sided, *[F.col(c) for c in ("mannwhitney_stat", "n0", "n1", "mannwhitney_z", "ties")])).withColumn("ks_p_value", _p(special.distance_sf, F.col("ks_stat"), F.col("n0"), F.col("n1"))).withColumn("point_biserial_p_value", _p(special.t_two_sided, F.col("point_biserial_t"), F.col("n0") + F.col("n1") - 2))
     columns = ["mannwhitney_stat", "mannwhitney_p_value", "ks_stat", "ks_p_value", "point_biserial_corr", "point_biserial_p_value", "auc", "auc_abs", "auc_interpretation", "cohens_d", "cohens_d_interpretation", "logit_beta", "logit_odds_ratio", "logit_p_value", "logit_separation_detected"]
@@ -197,7 +198,7 @@ def lr_test(counts: DataFrame, max_categories: int = 20) -> DataFrame:
 
 def categorical_battery(df: DataFrame, cols: list[str], target: str, max_bins: int = 20) -> DataFrame:
     """All tests of the categorical features, one row each, the highest information value first."""
-    counts = category_counts(df, cols, target).persist()
+    counts = materialize(category_counts(df, cols, target), "category-counts")
     woe = woe_table(counts, max_bins)
     f = lambda d: d.withColumnRenamed("variable", "feature")
     out = chi_square(counts).join(f(information_value(woe)), "feature").join(f(auc_woe(woe)), "feature").join(lr_test(counts, max_bins), "feature")

@@ -8,6 +8,7 @@ from ..functions import scalar as S
 from ..operators import joins, split, windows
 from ..roles import Roles
 from ..sources import tables
+from ..sources.scratch import scratch_dir
 from ..sources.tables import transactions as tx
 from ..sources.tables import tx_sql
 
@@ -44,8 +45,7 @@ def _csv_round_trip(spark, sf_dir):
     """Transactions written as CSV by Spark into its shared folder and read back with a schema."""
     import uuid
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    path = f"{base}/transactions-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/transactions-{uuid.uuid4().hex}"
     rows = tx(spark, sf_dir).select("k", text("fecha"), "j", "monto", "fraude", "b", "o")
     tables.write_table(rows, path, "csv")
     back = tables.read_transactions(spark, path, "k long, fecha string, j string, monto double, fraude int, b double, o string", fmt="csv")

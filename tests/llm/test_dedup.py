@@ -256,6 +256,40 @@ def test_candidates_share_a_band_and_half_of_the_bins(spark):
     assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(1, 2), (2, 3)] and crowd.count() == 0
 
 
+def test_pairs_of_a_large_bucket_share_no_other(spark, monkeypatch):
+    """Two lines that share one band only are met in a bucket of any size, also if neither is its first line."""
+    n, k = len(line_dedup.BANDS), (1 << 48) - 1
+    rows = [(i, i, i, 1, False, 7, *[100 * i + j for j in range(n - 1)], *((0, 0) if i in (3, 5) else (k // 15 * (2 * i + 1) % 2**48, k // 15 * (i + 1)))) for i in range(1, 7)]
+    signed = spark.createDataFrame(rows, ", ".join(["id long", "h1 long", "h2 long", "n_lines long", "thin boolean", *[f"{b} long" for b in line_dedup.BANDS], "k1 long", "k2 long"]))
+    alone = spark.createDataFrame([], "node long, component long")
+    monkeypatch.setattr(line_dedup, "FEW", 2)
+    for some in (6, 5):
+        monkeypatch.setattr(line_dedup, "SOME", some)
+        pairs, crowd = line_dedup.candidates(signed)
+        mixed, crowded = line_dedup._mixed(crowd, alone)
+        assert (3, 5) in {(r["a"], r["b"]) for r in pairs.select("a", "b").union(mixed).collect()} or {3, 5} <= {r["id"] for r in crowded.collect()}
+
+
+def test_pipeline_links_lines_of_one_shared_band(spark, monkeypatch):
+    """The pipeline's line stage drops a near copy that shares a single band with its like, were its bucket a large one."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(line_dedup, "FEW", 1)
+    rng, letters, lines = random.Random(8), "abcdefghijklmnopqrstuvwxyz", []
+    while len(lines) < 2400:
+        a = b = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(12))
+        while (near := jaccard(a, c := edited(rng, b, letters))) >= line_dedup.SIMILARITY:
+            b = c
+        lines += [a, b]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").withColumn("uid", F.col("doc_id"))
+    ids = {r["h1"]: r["doc_id"] for r in docs.select("doc_id", F.xxhash64("text").alias("h1")).collect()}
+    signed = {ids[r["h1"]]: r for r in line_dedup.signatures(docs).collect()}
+    shared = {i: sum(signed[i][b] == signed[i + 1][b] for b in line_dedup.BANDS) for i in range(0, len(lines), 2)}
+    left = {r["doc_id"] for r in corpus_pipeline.lines(spark, docs.drop("uid"), "").collect()}
+    one = [i for i, n in shared.items() if n == 1]
+    assert one and set(range(0, len(lines), 2)) <= left and not {i + 1 for i in one} & left
+
+
 def edited(rng, line, letters):
     at = rng.randrange(len(line))
     return rng.choice([line[:at] + rng.choice(letters) + line[at:], line[:at] + line[at + 1 :], line[:at] + rng.choice(letters) + line[at + 1 :]])

@@ -451,3 +451,24 @@ def test_fingerprints_rule_out_no_near_copy(spark):
     alike = {i for i, x in near.items() if x >= line_dedup.SIMILARITY}
     assert 20 < len(alike) < 100 and alike <= ids and not ids & {i for i, x in near.items() if x < 0.6}
     assert {r["a"] for r in line_dedup.verified(left, texts).collect()} == alike
+
+
+def test_signatures_are_compiled(spark, small, monkeypatch):
+    """No method that Spark generates for signatures is over the 8,000 bytes beyond which the JVM doesn't compile it."""
+    plans = []
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name: plans.append(df) or df)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        line_dedup.signatures(spark.read.parquet(f"{small}/documents.parquet"))
+        code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(plans[0]._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())]
+    assert sizes and 0 < max(sizes) < 8000
+
+
+def test_blanks_at_the_ends_of_lines(spark):
+    """Each kind of blank at either end is cut, blanks inside stay, and a line of blanks is none."""
+    text = "\n".join([f"{x}One  line{y}" for x in ["", *line_dedup.EDGES] for y in ["", *line_dedup.EDGES]] + ["", *line_dedup.EDGES, line_dedup.EDGES])
+    rows = line_dedup._lines(spark.createDataFrame([(text,), (None,)], "text string")).collect()
+    assert len(rows) == 36 and {r["line"] for r in rows} == {"one  line"} and len({(r["h1"], r["h2"]) for r in rows}) == 1

@@ -472,3 +472,29 @@ def test_blanks_at_the_ends_of_lines(spark):
     text = "\n".join([f"{x}One  line{y}" for x in ["", *line_dedup.EDGES] for y in ["", *line_dedup.EDGES]] + ["", *line_dedup.EDGES, line_dedup.EDGES])
     rows = line_dedup._lines(spark.createDataFrame([(text,), (None,)], "text string")).collect()
     assert len(rows) == 36 and {r["line"] for r in rows} == {"one  line"} and len({(r["h1"], r["h2"]) for r in rows}) == 1
+
+
+def test_fingerprints_are_compiled(spark, monkeypatch):
+    """Shingles are dealt out in generated code: a lambda inside explode would keep Spark from compiling it."""
+    plans = []
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name, **_: plans.append(df) or df)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        line_dedup.fingerprints(spark.createDataFrame([(1, "a line of some words")], "id long, line string"))
+        plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    steps = [x for x in plan.splitlines() if "Generate explode" in x]
+    assert steps and all("*(" in x.split("Generate")[0] for x in steps)
+
+
+def test_texts_are_cut_into_lines_twice(spark, monkeypatch):
+    """Once to sign the lines and once for their places and the texts to compare, with equal, near, lone and blank lines told apart."""
+    calls, cut = [], line_dedup._lines
+    monkeypatch.setattr(line_dedup, "_lines", lambda *a: calls.append(a) or cut(*a))
+    near = "a fairly long line about nothing in particular that goes on for quite a while"
+    rows = [(2, f"{near}!\nequal\n\nalone"), (1, f"equal\n{near}"), (3, None), (4, "Equal ")]
+    out = line_dedup.near_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("uid", F.col("doc_id"))).collect()
+    assert len(calls) == 2
+    got = {(r["doc_id"], r["line_no"]): (r["keep_doc_id"], r["keep_line_no"], r["kept"]) for r in out}
+    assert got == {(1, 0): (1, 0, True), (1, 1): (1, 1, True), (2, 0): (1, 1, False), (2, 1): (1, 0, False), (2, 3): (2, 3, True), (4, 0): (1, 0, False)} and len(out) == len(got)

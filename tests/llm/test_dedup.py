@@ -1,13 +1,16 @@
 """Exact, near and line dedup against brute force, and on awkward rows."""
 
 import random
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from txrisk.llm import exact_dedup, line_dedup, simhash
 from txrisk.llm.components import connected_components
+from txrisk.sources import scratch
 
 DOCS = "doc_id long, text string, kept int, component_id string"
 AWKWARD = [(1, "Same Text", 1, "x"), (2, "same text", 2, None), (3, None, None, None), (4, "", 0, "y"), (None, "same text", 1, "z"), (2, "same text", 2, None), (5, "ÄB", 1, "q"), (6, "äb", 1, "q")]
@@ -498,3 +501,45 @@ def test_texts_are_cut_into_lines_twice(spark, monkeypatch):
     assert len(calls) == 2
     got = {(r["doc_id"], r["line_no"]): (r["keep_doc_id"], r["keep_line_no"], r["kept"]) for r in out}
     assert got == {(1, 0): (1, 0, True), (1, 1): (1, 1, True), (2, 0): (1, 1, False), (2, 1): (1, 0, False), (2, 3): (2, 3, True), (4, 0): (1, 0, False)} and len(out) == len(got)
+
+
+def _shuffled(spark):
+    """The shuffle files there are; a deleted table's may take a moment to go."""
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {p for d in dirs for p in Path(str(d)).rglob("shuffle_*")}
+
+
+def _gone(spark, before):
+    for _ in range(50):
+        if not (left := _shuffled(spark) - before):
+            break
+        time.sleep(0.1)
+    return not left
+
+
+def test_a_written_tables_shuffles_are_deleted(spark):
+    """At once, not when the driver collects its garbage; the session's setting stays as it was, after an error too."""
+    before = _shuffled(spark)
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("x")).count()
+    setting = spark.conf.get(scratch.SHUFFLES_GO, None)
+    out = scratch.materialize(counts, "counts")
+    assert _gone(spark, before) and spark.conf.get(scratch.SHUFFLES_GO, None) == setting
+    assert sorted(r["count"] for r in out.collect()) == sorted(r["count"] for r in counts.collect()) == [142] + [143] * 5 + [143]
+    with pytest.raises(Exception, match="broken"):
+        scratch.materialize(counts.select(F.raise_error(F.lit("broken")).alias("x")), "broken")
+    assert spark.conf.get(scratch.SHUFFLES_GO, None) == setting
+
+
+def test_line_dedup_leaves_no_shuffles_and_few_tables(spark, monkeypatch):
+    """While texts are dealt to their places, neither shuffles of the steps before nor the signatures lie on disk."""
+    seen, write = {}, line_dedup.materialize
+    scratch_ = Path(scratch.scratch_dir(spark))
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name: seen.setdefault(name, (_gone(spark, before), mine())) and write(df, name))
+    mine = lambda: {p.name[:-33] for p in scratch_.iterdir()} - there
+    before, there = _shuffled(spark), {p.name[:-33] for p in scratch_.iterdir()}
+    near = "a fairly long line about nothing in particular that goes on for quite a while"
+    docs = spark.createDataFrame([(i, f"{near}{'!' * (i % 3)}\nline {i}") for i in range(20)], "doc_id long, text string").withColumn("uid", F.col("doc_id"))
+    out = line_dedup.near_lines(docs)
+    assert all(gone for gone, _ in seen.values()) and _gone(spark, before)
+    assert "line-signatures" in seen["line-members"][1] and "line-signatures" not in seen["line-places"][1]
+    assert out.where("kept").count() == 21

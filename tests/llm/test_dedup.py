@@ -543,3 +543,18 @@ def test_line_dedup_leaves_no_shuffles_and_few_tables(spark, monkeypatch):
     assert all(gone for gone, _ in seen.values()) and _gone(spark, before)
     assert "line-signatures" in seen["line-members"][1] and "line-signatures" not in seen["line-places"][1]
     assert out.where("kept").count() == 21
+
+
+def test_the_pipeline_keeps_no_table_that_is_read(spark, small, monkeypatch):
+    """A stage's table goes when the next one's is written, and what line dedup reads its lines from goes before texts are dealt to their lines."""
+    import corpus_pipeline
+
+    folder, seen, write = Path(scratch.scratch_dir(spark)), {}, corpus_pipeline.materialize
+    there = set(folder.iterdir())
+    new = lambda: {p.name[:-33] for p in set(folder.iterdir()) - there}
+    monkeypatch.setattr(corpus_pipeline, "materialize", lambda df, name: seen.setdefault(name, new()) and None or write(df, name))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", lambda s, docs, d: docs), ("line_dedup", corpus_pipeline.lines)])
+    out = corpus_pipeline.run(spark, small)
+    assert "line-gone" in seen["pipeline-line_dedup"] and not seen["pipeline-line_dedup"] & {"line-places", "line-classes", "line-firsts", "line-signatures"}
+    assert "pipeline-line_dedup" in new() and "pipeline-first" not in new()
+    assert 0 < out.count() <= spark.read.parquet(f"{small}/documents.parquet").count()

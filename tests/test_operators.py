@@ -424,6 +424,38 @@ def test_stream_of_late_rows(spark, tmp_path):
     assert hot >= 10  # keys of the busy entity, each a task's own
 
 
+def test_late_rows_of_many_entities_share_their_state(spark, tmp_path):
+    """Entities of a part and a stretch are one group of few packs, so the state has fewer rows than the stream; every aggregate, nulls and history as in a table."""
+    from txrisk.streaming import jobs
+
+    at = F.timestamp_seconds(1_704_067_200 + F.col("id") * 104_729 % 345_600)
+    every = spark.range(3000).select(F.col("id").alias("k"), F.concat(F.lit("u"), F.col("id") * 7919 % 1000).alias("j"), at.alias("fecha"), F.when(F.col("id") % 11 != 0, (F.col("id") * 31 % 97).cast("double")).alias("monto"), F.concat(F.lit("line\nbreak "), "id").alias("note"))
+    old, t = every.where("fecha < timestamp'2024-01-02'"), every.where("fecha >= timestamp'2024-01-02'")
+    for n in range(3):
+        t.where(F.col("k") % 3 == n).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    t.limit(1).withColumns({"k": F.lit(-1).cast("long"), "fecha": F.lit("2024-03-01").cast("timestamp")}).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = _stateful(spark).readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    kinds = {"windows": ("1h", "1d"), "aggregates": ("sum", "mean", "max", "min", "median")}
+    out, query = _replay(jobs.stream_velocity(stream, **kinds, watermark="5 days", late=True, stretch="1d", history=old), tmp_path)
+    got, want = ({r["k"]: r.asDict() for r in x.collect()} for x in (out, windows.with_history(t, old, **kinds)))
+    assert got.keys() == want.keys() and any(r["monto_sum_1d"] for r in got.values())
+    for k, r in want.items():
+        assert all(got[k][c] == v or (isinstance(v, float) and got[k][c] == pytest.approx(v, abs=1e-9)) for c, v in r.items()), (got[k], r)
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) < 2000 < t.count()
+
+
+def test_folds_of_ranges():
+    np = pytest.importorskip("numpy")
+    rng = random.Random(4)
+    for _ in range(20):
+        v = np.array([float(rng.randint(-9, 9)) for _ in range(rng.randint(1, 70))])
+        low = np.array([rng.randint(0, len(v)) for _ in range(30)])
+        high = np.array([rng.randint(a, len(v)) for a in low])
+        for fold, none in ((np.add, 0.0), (np.maximum, -np.inf), (np.minimum, np.inf)):
+            assert windows.range_folds(v, low, high, fold, none).tolist() == [fold.reduce(v[a:b], initial=none) for a, b in zip(low, high)]
+    assert windows.range_folds(np.array([1e300, 1.0, 2.0]), np.array([1]), np.array([3]), np.add, 0.0).tolist() == [3.0]
+
+
 def _plan_of(spark, train):
     from txrisk.queries import scoring
 

@@ -173,7 +173,8 @@ def _st1(s, d):
 
 def _late(s, d):
     """The same with rows that wait for late ones, by entity and day; the last hour's rows wait for a later one."""
-    out = _run(s, jobs.stream_velocity(_stream(_with_state(s), d), windows=("1d", "7d"), aggregates=("sum", "median"), watermark="1 hour", late=True, stretch="1d"))
+    rows = _stream(_with_state(s), d).select("k", "j", "fecha", "monto")  # what the result needs of a row that waits
+    out = _run(s, jobs.stream_velocity(rows, windows=("1d", "7d"), aggregates=("sum", "median"), watermark="1 hour", late=True, stretch="1d"))
     return out.select("k", *[F.round(f"monto_{a}_{w}", 6).alias(f"monto_{a}_{w}") for w in ("1d", "7d") for a in ("sum", "median")])
 
 
